@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketframe.functions.text import cell
+from docketframe.functions.text import text_or_null
 
 # Fixed values.
 CITATION_LABEL = " (CanLII)"
@@ -28,7 +28,7 @@ def decision_code(uid: Column) -> Column:
 def citation_key(citation: Column) -> Column:
     """Decision key held in a free citation: its neutral citation, else the text itself."""
     neutral = F.regexp_extract(citation, NEUTRAL_CITATION_PATTERN, 0)
-    text = F.coalesce(F.nullif(neutral, F.lit("")), cell(citation))
+    text = F.coalesce(F.nullif(neutral, F.lit("")), text_or_null(citation))
     return decision_code(F.replace(text, F.lit(" "), F.lit("")))
 
 
@@ -36,7 +36,7 @@ def text_field(item: Column, key: str) -> Column:
     """A JSON field of a relation item, kept only when it is a non-blank string."""
     value = F.try_variant_get(item, f"$.{key}", "variant")
     is_text = F.schema_of_variant(value) == "STRING"
-    return F.when(is_text, cell(F.try_variant_get(value, "$", "string")))
+    return F.when(is_text, text_or_null(F.try_variant_get(value, "$", "string")))
 
 
 def item_citation(item: Column) -> Column:

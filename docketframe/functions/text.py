@@ -15,7 +15,7 @@ WHITESPACE = (
 )
 # The same set as a regex class. Java's \s is ASCII only and (?U)\s leaves out
 # the four ASCII separators, so the class is spelled out.
-WS = f"[{WHITESPACE}]"
+WS = "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(text: Column) -> Column:
@@ -31,17 +31,30 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE))
 
 
+def text_or_null(text: Column) -> Column:
+    """Stripped text, NULL when nothing is left."""
+    return F.nullif(strip(text), F.lit(""))
+
+
 def cell(text: Column) -> Column:
-    """A table cell ready for parsing: stripped, and NULL when nothing is left."""
-    return F.nullif(strip(text.cast("string")), F.lit(""))
+    """``text_or_null`` for table cells, nearly all of which need no stripping.
+
+    A text that begins and ends with a visible ASCII character is passed on
+    after two comparisons. Uses ``text`` several times: give it a column, or an
+    expression generated code can share.
+    """
+    text = text.cast("string")
+    visible = (text >= "!") & (text < "\x7f") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(visible, text).otherwise(text_or_null(text))
+
 
+def cut(text: Column, separator: str) -> tuple[Column, Column]:
+    """Cell sides of the first separator, blank ones NULL; without it all is left.
 
-def cut(text: Column, separator: str) -> tuple[Column, Column, Column]:
-    """Split at the first separator: (found?, left, right); blank sides are NULL."""
-    at = F.instr(text, separator)
-    left = cell(F.substr(text, F.lit(1), at - 1))
-    right = cell(F.substr(text, at + len(separator)))
-    return at > 0, left, right
+    Written without branches, so that generated code shares the common parts.
+    """
+    left = F.substring_index(text, separator, 1)
+    return cell(left), cell(F.substr(text, F.length(left) + len(separator) + 1))
 
 
 def text_before(text: Column, target: str) -> Column:

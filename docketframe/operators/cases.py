@@ -65,9 +65,10 @@ def parse_cases(df: DataFrame, markdown: str = "markdown", separator: str = C.CH
 
 def paragraph_rows(cases: DataFrame, *keys: str) -> DataFrame:
     """One row per paragraph, numbered from 1."""
-    return cases.select(*keys, F.posexplode("paragraphs").alias("pos", "text")).select(
-        *keys, (F.col("pos") + 1).alias("para_no"), "text"
-    )
+    # The outer form keeps the optimizer from testing the array's size first,
+    # which would work it out twice; it adds one empty row to empty arrays.
+    rows = cases.select(*keys, F.posexplode_outer("paragraphs").alias("pos", "text"))
+    return rows.where(F.col("text").isNotNull()).select(*keys, (F.col("pos") + 1).alias("para_no"), "text")
 
 
 def case_texts(cases: DataFrame, metadata: DataFrame, include_header: bool = False) -> DataFrame:

@@ -10,7 +10,9 @@ from docketframe.functions.legislation import statute_name, statute_section, sta
 
 def legislation_links(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
     """One row per statute link: ``key, para_no, link_pos, name, section``. Narrow."""
-    para = cases.select(key, F.posexplode(paragraphs).alias("p", "text"))
+    # The outer form: for the inner one the optimizer adds a filter on the
+    # array's size, which would work the paragraphs out a second time.
+    para = cases.select(key, F.posexplode_outer(paragraphs).alias("p", "text"))
     links = para.select(
         key,
         (F.col("p") + 1).alias("para_no"),

@@ -70,16 +70,18 @@ def resolve_offences(
     output: str = "offence",
     match_plain_variants: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT,
+    stripped: bool = False,
 ) -> DataFrame:
     """Replace/add ``output``: struct of ``offence_code`` and ``offence_name``.
 
     The code as given (youth suffix removed) wins; its other spelling counts for
     codes with the youth suffix only, unless ``match_plain_variants`` is set.
-    A code found nowhere is kept as it was, without a name.
+    A code found nowhere is kept as it was, without a name. ``stripped`` says
+    that the column holds no outer whitespace and no empty texts.
     """
     given, base, hit = F.col("__code"), F.col("__base"), F.col("__hit")
     left = (
-        sentences.withColumn("__code", cell(F.col(f"`{column}`")))
+        sentences.withColumn("__code", F.col(f"`{column}`") if stripped else cell(F.col(f"`{column}`")))
         .withColumn("__base", without_ycja(given))
         .withColumn("__key", strip(base))
     )

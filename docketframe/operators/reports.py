@@ -49,7 +49,7 @@ def build_reports(
     linked = known.join(related_lists(responses, metadata, order), "decision", "left").drop("decision")
     statutes = legislation_lists(cited_legislation(legislation_links(cases, key), key), key)
     facts = linked.join(statutes, key, "left")
-    texts = cases.select(
+    texts = cases.where(F.col("citation") != "").select(
         key, "citation", report_header(F.col("header")).alias("header"), F.col("paragraphs").alias("body_paragraphs")
     )
     related_type = [f.dataType for f in linked.schema if f.name == "cited_cases_metadata"][0]

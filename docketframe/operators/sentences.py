@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketframe.functions import sentences as S
-from docketframe.functions.text import cell
+from docketframe.functions.text import text_or_null
 from docketframe.operators.joins import BROADCAST_LIMIT
 from docketframe.operators.offences import resolve_offences
 
@@ -47,26 +47,40 @@ def parse_sentences(
     takes only some fields pays only for the parsers behind them.
     """
     keep = keep or []
+    # ``text_or_null`` and not ``cell``: eight of the latter in one projection
+    # make a method too large for the JVM to compile.
     cells = canonical_sentences(df, keep).select(
-        *keep, *[cell(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS]
+        *keep, *[text_or_null(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS]
     )
     resolved = resolve_offences(
-        cells, offences, match_plain_variants=match_plain_variants, broadcast_limit=broadcast_limit
+        cells,
+        offences,
+        match_plain_variants=match_plain_variants,
+        broadcast_limit=broadcast_limit,
+        stripped=True,
     )
-    # Matches and components are columns of their own, so that the summary's
-    # fields share them instead of running the regex again.
-    staged = resolved.withColumn("__matches", S.jail_matches(F.col("jail"))).withColumn(
-        "__components", S.jail_components_of(F.col("jail"), F.col("__matches"))
+    # Steps that later steps use several times become columns of their own.
+    jail, digits = F.col("jail"), F.col("__digits")
+    steps = resolved.select(
+        "*",
+        S.jail_matches(jail).alias("__matches"),
+        S.conditions_accepted(F.col("conditions")).alias("__accepted"),
+        S.fine_digits(F.col("fine")).alias("__digits"),
+    ).select(
+        "*",
+        S.jail_components_of(jail, F.col("__matches")).alias("__components"),
+        S.conditions_pieces(F.col("__accepted")).alias("__pieces"),
+        S.fine_value(digits).alias("__value"),
     )
-    return staged.select(
+    return steps.select(
         *keep,
         S.uid_parts_of(F.col("uid")).alias("uid"),
         F.col("offence"),
         S.date_parts_of(F.col("date")).alias("date"),
-        S.jail_summary_of(F.col("jail"), F.col("__components")).alias("jail"),
+        S.jail_summary_of(jail, F.col("__components")).alias("jail"),
         S.mode_parts_of(F.col("mode")).alias("mode"),
-        S.conditions_parts_of(F.col("conditions")).alias("conditions"),
-        S.fine_amount_of(F.col("fine")).alias("fine"),
+        S.conditions_shown(F.col("__pieces")).alias("conditions"),
+        S.fine_shown(digits, F.col("__value")).alias("fine"),
         S.appeal_parts_of(F.col("appeal")).alias("appeal"),
     )
 
@@ -118,7 +132,7 @@ def case_sentences(
     """
     rows = (
         canonical_sentences(df)
-        .select(*[cell(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS])
+        .select(*[text_or_null(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS])
         .groupBy(*S.SENTENCE_COLUMNS)
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("case_id", S.case_id(F.col("uid")))
