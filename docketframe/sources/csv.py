@@ -102,6 +102,8 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -13,6 +13,6 @@ def read_pages(spark: SparkSession, path: str, *names: str) -> DataFrame:
     """
     files = [n.strip() if n.strip().lower().endswith(".html") else f"{n.strip()}.html" for n in names]
     source = [f"{path.rstrip('/')}/{f}" for f in files] or path
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[hH][tT][mM][lL]").text(source)
+    pages = spark.read.option("pathGlobFilter", "*.[hH][tT][mM][lL]").text(source, wholetext=True)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.html$", "")
     return pages.select(name.alias("case_name"), F.col("value").alias("html"))
