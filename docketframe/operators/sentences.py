@@ -46,12 +46,20 @@ def parse_sentences(
     stays under the broadcast limit. Each cell is stripped once; a reader that
     takes only some fields pays only for the parsers behind them.
     """
-    keep = keep or []
+    return _parse_cells(_cells(df, keep or []), offences, keep or [], match_plain_variants, broadcast_limit)
+
+
+def _cells(df: DataFrame, keep: list[str]) -> DataFrame:
     # ``text_or_null`` and not ``cell``: eight of the latter in one projection
     # make a method too large for the JVM to compile.
-    cells = canonical_sentences(df, keep).select(
+    return canonical_sentences(df, keep).select(
         *keep, *[text_or_null(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS]
     )
+
+
+def _parse_cells(
+    cells: DataFrame, offences: DataFrame, keep: list[str], match_plain_variants: bool, broadcast_limit: int
+) -> DataFrame:
     resolved = resolve_offences(
         cells,
         offences,
@@ -131,23 +139,20 @@ def case_sentences(
     evenly, so no group grows with the busiest case.
     """
     rows = (
-        canonical_sentences(df)
-        .select(*[text_or_null(F.col(c)).alias(c) for c in S.SENTENCE_COLUMNS])
+        _cells(df, [])
         .groupBy(*S.SENTENCE_COLUMNS)
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("case_id", S.case_id(F.col("uid")))
+        .withColumn("case_id", F.substring_index("uid", "_", 1))
         .where(F.col("case_id") != "")
     )
-    sizes = rows.groupBy("case_id").agg(
-        F.ceil(F.count(F.lit(1)) / per_row).cast("bigint").alias("parts")
-    )
-    spread = rows.join(sizes, "case_id").withColumn(
-        "part", F.pmod(F.xxhash64(*S.SENTENCE_COLUMNS), F.col("parts"))
+    sizes = rows.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / per_row).cast("bigint").alias("parts"))
+    spread = rows.join(sizes, "case_id").select(
+        "*",
+        F.pmod(F.xxhash64(*S.SENTENCE_COLUMNS), F.col("parts")).alias("part"),
+        F.col("uid").alias("key"),
     )
     keep = ["case_id", "part", "parts", "copies", "key"]
-    parsed = parse_sentences(
-        spread.withColumn("key", F.col("uid")), offences, keep=keep, match_plain_variants=match_plain_variants
-    )
+    parsed = _parse_cells(spread, offences, keep, match_plain_variants, BROADCAST_LIMIT)
     entry = F.struct(
         F.col("key").alias("uid"), "copies", F.struct(*[c for c in parsed.columns if c not in keep]).alias("sentence")
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketframe.session import tune
+
 SENTENCES = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   concat('2024ord', cast(l_orderkey % 500 AS string),
@@ -135,7 +137,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
     A table with enough splits is read as it lies, without a shuffle.
     """
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, *_ROW_KEYS[table]) if df.rdd.getNumPartitions() < cores else df
 
