@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketframe.functions import sentences as S
-from docketframe.functions.text import text_or_null
+from docketframe.functions.text import evaluate_once, text_or_null
 from docketframe.operators.joins import BROADCAST_LIMIT
 from docketframe.operators.offences import resolve_offences
 
@@ -115,7 +115,7 @@ def sentences_for_case(df: DataFrame, case: str) -> DataFrame:
 def sentence_counts(df: DataFrame) -> DataFrame:
     """Sentences per case; rows without a case are left out."""
     return (
-        df.select(S.case_id(F.col("uid")).alias("case_id"))
+        evaluate_once(df.select("uid"), case_id=S.case_id(F.col("uid")))
         .where(F.col("case_id") != "")
         .groupBy("case_id")
         .agg(F.count(F.lit(1)).alias("n_sentences"))
@@ -138,13 +138,8 @@ def case_sentences(
     rows are counted first (map-side), which leaves rows a hash can spread
     evenly, so no group grows with the busiest case.
     """
-    rows = (
-        _cells(df, [])
-        .groupBy(*S.SENTENCE_COLUMNS)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("case_id", F.substring_index("uid", "_", 1))
-        .where(F.col("case_id") != "")
-    )
+    counted = _cells(df, []).groupBy(*S.SENTENCE_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
+    rows = evaluate_once(counted, case_id=F.substring_index("uid", "_", 1)).where(F.col("case_id") != "")
     sizes = rows.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / per_row).cast("bigint").alias("parts"))
     spread = rows.join(sizes, "case_id").select(
         "*",
