@@ -17,7 +17,7 @@ HEADER_START_MARKERS = [
 ]
 HEADING_MARKER_PATTERN = rf"\*\*{WS}*_{WS}*_{WS}*\*\*"
 CITATION_PATTERN = r"(?s)# (.*?) \(CanLII\) "
-BANNER_PATTERN = r"(?s)^([^!]*)!.*?PDF"
+BANNER_PATTERN = r"(?s)^([^!]*+)!.*?PDF"
 BODY_END_MARKER = "Back to top"
 HEADER_NOISE_MARKER = "Most recent unfavourable mention"
 PARAGRAPH_SEPARATOR_PATTERN = r"\n+__\n+"
@@ -74,8 +74,9 @@ def extract_citation(header: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Normalise whitespace of a section, keeping breaks next to ``__`` marks."""
     text = F.regexp_replace(text, BANNER_PATTERN, "$1")
-    # Line breaks that touch no "__" are soft.
-    text = F.regexp_replace(text, r"(?<!__)\n(?!__)", " ")
+    # Line breaks that touch no "__" are soft. The break comes first in the
+    # pattern, so that the look behind runs at breaks only.
+    text = F.regexp_replace(text, r"\n(?<!__\n)(?!__)", " ")
     # After this no break is followed by whitespace, so blank lines are gone too.
     text = F.regexp_replace(text, rf"\n{WS}+", "\n")
     text = F.regexp_replace(text, "  +", " ")

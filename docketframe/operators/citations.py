@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketframe.functions.citations import citation_key, decision_code, formatted_citation, item_citation
 from docketframe.functions.text import evaluate_once
+from docketframe.operators.joins import join_unique
 
 # Fields of the citation metadata, in output order.
 METADATA_TEXT_FIELDS = [
@@ -66,7 +67,7 @@ def join_metadata(cases: DataFrame, metadata: DataFrame, citation: Column, how:
     splits its partition; the right side has one row per key.
     """
     left = cases.withColumn("decision", citation_key(citation))
-    return left.join(keyed_metadata(metadata), "decision", how).drop("decision")
+    return join_unique(left, keyed_metadata(metadata), "decision", how).drop("decision")
 
 
 # relation responses ------------------------------------------------------

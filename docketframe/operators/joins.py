@@ -37,3 +37,16 @@ def broadcast_if_bounded(
         return df
     size = data_bytes(df if measured is None else measured) * copies
     return F.broadcast(df) if size <= limit else df
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join to a side with one row per key, which is the outcome of an aggregation on it.
+
+    Adaptive execution splits a hot key only where both inputs of the join are
+    fresh shuffles, and an aggregation on the key would be joined as it lies.
+    The hash of the key as a second join column asks for that shuffle; the
+    unique side is the small price for a left side that may be hot.
+    """
+    spread = F.xxhash64(key)
+    keys = ["__spread", key]
+    return left.withColumn("__spread", spread).join(right.withColumn("__spread", spread), keys, how).drop("__spread")

@@ -12,7 +12,7 @@ from docketframe.functions.offences import (
     without_ycja,
 )
 from docketframe.functions.text import cell, strip
-from docketframe.operators.joins import BROADCAST_LIMIT, broadcast_if_bounded
+from docketframe.operators.joins import BROADCAST_LIMIT, broadcast_if_bounded, join_unique
 
 # A section serves its own code and at most three codes spelled differently.
 KEYS_PER_SECTION = 4
@@ -95,7 +95,7 @@ def resolve_offences(
         copies=KEYS_PER_SECTION,
         limit=broadcast_limit,
     )
-    joined = left.join(lookup, "__key", "left")
+    joined = join_unique(left, lookup, "__key", "left")
 
     youth = has_ycja(given)
     label = F.when(youth, F.lit(YCJA_LABEL)).otherwise(F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketframe.functions.cases import report_header
 from docketframe.functions.citations import citation_key, decision_code
 from docketframe.operators.citations import keyed_metadata, latest_answers, related_cases, relation_items
+from docketframe.operators.joins import join_unique
 from docketframe.operators.legislation import cited_legislation, legislation_links, legislation_lists
 
 
@@ -44,9 +45,9 @@ def build_reports(
     and pass the stored table to keep them from being parsed once per branch.
     """
     cited = cases.where(F.col("citation") != "").select(key, citation_key(F.col("citation")).alias("decision"))
-    known = cited.join(keyed_metadata(metadata), "decision")
-    # The metadata names the case; its own key is what relations are stored under.
-    linked = known.join(related_lists(responses, metadata, order), "decision", "left").drop("decision")
+    # Both sides of this join are grouped by decision already.
+    known = keyed_metadata(metadata).join(related_lists(responses, metadata, order), "decision", "left")
+    linked = join_unique(cited, known, "decision").drop("decision")
     statutes = legislation_lists(cited_legislation(legislation_links(cases, key), key), key)
     facts = linked.join(statutes, key, "left")
     texts = cases.where(F.col("citation") != "").select(

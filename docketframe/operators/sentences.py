@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docketframe.functions import sentences as S
 from docketframe.functions.text import evaluate_once, text_or_null
-from docketframe.operators.joins import BROADCAST_LIMIT
+from docketframe.operators.joins import BROADCAST_LIMIT, join_unique
 from docketframe.operators.offences import resolve_offences
 
 
@@ -141,7 +141,7 @@ def case_sentences(
     counted = _cells(df, []).groupBy(*S.SENTENCE_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
     rows = evaluate_once(counted, case_id=F.substring_index("uid", "_", 1)).where(F.col("case_id") != "")
     sizes = rows.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / per_row).cast("bigint").alias("parts"))
-    spread = rows.join(sizes, "case_id").select(
+    spread = join_unique(rows, sizes, "case_id").select(
         "*",
         F.pmod(F.xxhash64(*S.SENTENCE_COLUMNS), F.col("parts")).alias("part"),
         F.col("uid").alias("key"),
