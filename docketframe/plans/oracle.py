@@ -456,7 +456,7 @@ WHERE i = greatest(0, least({ROW_INDEX}, n - 1))""",
         "case_split": with_(*SPLIT, select="SELECT * FROM split_cases"),
         "case_citation": with_(*PARSED, select="SELECT doc_id, citation FROM cases"),
         "case_paragraphs": with_(
-            *PARSED, select="SELECT doc_id, generate_subscripts(paragraphs, 1) AS para_no, unnest(paragraphs) AS text FROM cases"
+            *PARSED, select="SELECT doc_id, CAST(generate_subscripts(paragraphs, 1) AS INTEGER) AS para_no, unnest(paragraphs) AS text FROM cases"
         ),
         "clean_text": with_(CASES, select=f"SELECT doc_id, {clean('markdown')} AS clean FROM fx_case_markdown"),
         "text_before": with_(CASES, select="SELECT doc_id, string_split(markdown, 'Back to top')[1] AS kept FROM fx_case_markdown"),
@@ -471,7 +471,7 @@ WHERE i = greatest(0, least({ROW_INDEX}, n - 1))""",
             select=f"""SELECT doc_id, header, array_to_string(paragraphs, ' | ') AS body, m.citation, m.court
 FROM cases c LEFT JOIN metadata m ON m.decision = {decision_in('c.citation')}""",
         ),
-        "legislation_links": with_(*LINKS, select="SELECT doc_id, para_no, name, section FROM links"),
+        "legislation_links": with_(*LINKS, select="SELECT doc_id, CAST(para_no AS INTEGER) AS para_no, name, section FROM links"),
         "cited_legislation": with_(*LINKS, select="SELECT doc_id, name, section, array_to_string(paras, ',') AS para_nos FROM grouped"),
         "legislation_ordered": with_(*LINKS, select="SELECT doc_id, rank, name, section, para_nos FROM ranked"),
         "citation_metadata": with_(
