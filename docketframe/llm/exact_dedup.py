@@ -24,9 +24,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+FILTER_BITS = 1 << 24
 RECORD = "digest binary, doc_id long, file string, place long"
 
 
@@ -80,6 +82,20 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     ).select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.file").alias("file"), F.col("first.place").alias("place"), "group_size")
 
 
+def may_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose digest may be one of ``hits``, so that few other texts are shuffled to be compared.
+
+    The filter is a bitmap of 2^24 bits in at most 2^18 rows, whatever the number of hits, which bounds its broadcast. The
+    fuller it is the more rows pass; none of the hits is lost.
+    """
+    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    bits = hits.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("_bits")
+    )
+    tested = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(bits), "_word")
+    return tested.where("shiftrightunsigned(_bits, CAST(_place & 63 AS INT)) & 1 = 1").drop("_place", "_word", "_bits")
+
+
 def exact_duplicates(
     docs: DataFrame, checkpoint: str | None = None, files_per_batch: int = 1000, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -104,12 +120,12 @@ def exact_duplicates(
         state = log.select("digest", F.col("doc_id").alias("keep_id"), "file", "place", F.lit(0).cast("long").alias("group_size"))
 
     # The full texts of all hits, each group reduced inside the tasks before the shuffle.
-    hits = stored(state.where("group_size > 1").select("digest", F.lit(1).alias("hit")), "hits")
+    hits = stored(state.where("group_size > 1").select("digest"), "hits")
     content = docs.select(
         normalized(F.col("text").cast("string")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
     ).withColumn("digest", digest(F.col("text")))
-    same_bytes = content.join(hits.select("digest"), "digest").groupBy("digest", "text").agg(F.count("*").alias("group_size"))
+    same_bytes = may_hit(content, hits).join(hits, "digest").groupBy("digest", "text").agg(F.count("*").alias("group_size"))
     broken = stored(same_bytes.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "collisions")
 
     located = log.withColumnRenamed("file", "own_file").withColumnRenamed("place", "own_place")
