@@ -30,7 +30,6 @@ from docketframe.operators.sentences import (
     canonical_sentences,
     case_sentences,
     cases_with_many_sentences,
-    check_columns,
     column_report,
     parse_sentences,
     row_at,

@@ -106,13 +106,13 @@ def component_days(quantity: Column, unit: Column) -> Column:
 
 
 def custody_days(components: Column) -> Column:
-    """Whole days of a component array (truncated); NULL array -> NULL."""
+    """Whole days of a component array (truncated); NULL array, or more days than a BIGINT holds -> NULL."""
     total = F.aggregate(
         components,
         F.lit(0.0),
         lambda days, c: days + component_days(c["quantity"], c["unit"]),
     )
-    return total.cast("bigint")
+    return total.try_cast("bigint")
 
 
 def jail_summary_of(jail: Column, components: Column) -> Column:
@@ -216,7 +216,9 @@ def fine_value(digits: Column) -> Column:
 def fine_shown(digits: Column, value: Column) -> Column:
     word = F.lower(F.when(value.isNull(), digits))
     return (
-        F.when(value.isNotNull(), F.format_string("$%.2f", value))
+        F.when(value == float("inf"), F.lit("$inf"))
+        .when(value == float("-inf"), F.lit("$-inf"))
+        .when(value.isNotNull(), F.format_string("$%.2f", value))
         .when(word.isin("nan", "+nan", "-nan"), F.lit("$nan"))
         .when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit("$inf"))
         .when(word.isin("-inf", "-infinity"), F.lit("$-inf"))

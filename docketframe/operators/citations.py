@@ -123,18 +123,17 @@ def request_keys(citations: DataFrame) -> DataFrame:
     )
 
 
-def relation_edges(citations: DataFrame, responses: DataFrame, key: str = "case_key") -> DataFrame:
+def relation_edges(citations: DataFrame, responses: DataFrame, key: str = "case_key", order: str = "request_id") -> DataFrame:
     """Each citation with the answers landed for it: ``key, court_key, decision,
     caseref_type, error, items``; a citation that cannot be asked for gives one
     row with its error.
 
-    The join is inner, with the error rows added beside it: adaptive execution
+    A decision has one answer per relation type (``latest_answers``), however
+    often it was asked for. The join is inner, with the error rows added beside it: adaptive execution
     can then split a hot decision on whichever side it is hot.
     """
     asked = request_keys(citations).select(key, "court_key", "decision", "error")
-    answers = relation_items(responses).select(
-        decision_code(F.col("case_id")).alias("decision"), "caseref_type", "error", "items"
-    )
+    answers = relation_items(latest_answers(responses, order)).select("decision", "caseref_type", "error", "items")
     answered = asked.where(F.col("error").isNull()).drop("error").join(answers, "decision")
     failed = asked.where(F.col("error").isNotNull()).withColumn("items", F.array().cast(EMPTY_ITEMS))
     columns = [key, "court_key", "decision", "caseref_type", "error", "items"]
@@ -157,7 +156,12 @@ def related_cases(answers: DataFrame, metadata: DataFrame, *keys: str) -> DataFr
 
 
 def latest_answers(responses: DataFrame, order: str = "request_id") -> DataFrame:
-    """The last answer per case and relation type."""
-    return responses.groupBy("case_id", "caseref_type").agg(
-        F.max_by(F.struct("status", "body"), order).alias("answer")
-    ).select("case_id", "caseref_type", "answer.status", "answer.body")
+    """One answer per decision and relation type: ``decision, caseref_type, status, body``.
+
+    It is the last one with status 200, or the last one of all where none has. The spellings of a case id are one
+    decision. Answers are reduced in each task before the shuffle.
+    """
+    keys = [decision_code(F.col("case_id")).alias("decision"), "caseref_type"]
+    good = F.coalesce(F.col("status") == 200, F.lit(False))
+    best = F.max_by(F.struct("status", "body"), F.struct(good, F.col(order)))
+    return responses.groupBy(*keys).agg(best.alias("answer")).select("decision", "caseref_type", "answer.status", "answer.body")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketframe.functions.cases import report_header
-from docketframe.functions.citations import citation_key, decision_code
+from docketframe.functions.citations import citation_key
 from docketframe.operators.citations import keyed_metadata, latest_answers, related_cases, relation_items
 from docketframe.operators.joins import join_unique
 from docketframe.operators.legislation import cited_legislation, legislation_links, legislation_lists
@@ -18,7 +18,7 @@ def related_lists(responses: DataFrame, metadata: DataFrame, order: str = "reque
     An array is bounded by the body of one answer.
     """
     answers = relation_items(latest_answers(responses, order)).select(
-        decision_code(F.col("case_id")).alias("decision_asked"), "caseref_type", "items"
+        F.col("decision").alias("decision_asked"), "caseref_type", "items"
     )
     rows = related_cases(answers, metadata, "decision_asked", "caseref_type")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketframe.functions import sentences as S
 from docketframe.functions.text import evaluate_once, text_or_null
-from docketframe.operators.joins import BROADCAST_LIMIT, join_unique
+from docketframe.operators.joins import BROADCAST_LIMIT
 from docketframe.operators.offences import resolve_offences
 
 
@@ -127,113 +128,79 @@ def cases_with_many_sentences(df: DataFrame) -> DataFrame:
     return sentence_counts(df).where(F.col("n_sentences") > 1)
 
 
-def case_sentences(
-    df: DataFrame, offences: DataFrame, per_row: int = 10_000, match_plain_variants: bool = False
-) -> DataFrame:
-    """Sentences by case: ``case_id, part, parts, sentences`` with an array of
-    ``uid, copies`` and the parsed sentence.
+def case_sentences(df: DataFrame, offences: DataFrame, match_plain_variants: bool = False) -> DataFrame:
+    """Parsed sentences with their case: ``case_id, key`` (the uid) and the parsed fields, one row per sentence.
 
-    A uid may repeat, so the value is an array, not a map. A case of any size is
-    spread over ``parts`` rows of about ``per_row`` entries: identical source
-    rows are counted first (map-side), which leaves rows a hash can spread
-    evenly, so no group grows with the busiest case.
+    Rows without a case are left out. The job is as narrow as the parse: write the rows partitioned or bucketed by
+    ``case_id`` to have them by case; no group is built, so a case may hold any share of them.
     """
-    counted = _cells(df, []).groupBy(*S.SENTENCE_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
-    rows = evaluate_once(counted, case_id=F.substring_index("uid", "_", 1)).where(F.col("case_id") != "")
-    sizes = rows.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / per_row).cast("bigint").alias("parts"))
-    spread = join_unique(rows, sizes, "case_id").select(
-        "*",
-        F.pmod(F.xxhash64(*S.SENTENCE_COLUMNS), F.col("parts")).alias("part"),
-        F.col("uid").alias("key"),
-    )
-    keep = ["case_id", "part", "parts", "copies", "key"]
-    parsed = _parse_cells(spread, offences, keep, match_plain_variants, BROADCAST_LIMIT)
-    entry = F.struct(
-        F.col("key").alias("uid"), "copies", F.struct(*[c for c in parsed.columns if c not in keep]).alias("sentence")
-    )
-    return parsed.groupBy("case_id", "part", "parts").agg(F.collect_list(entry).alias("sentences"))
+    rows = evaluate_once(_cells(df, []), case_id=F.substring_index("uid", "_", 1)).where(F.col("case_id") != "")
+    keep = ["case_id", "key"]
+    return _parse_cells(rows.withColumn("key", F.col("uid")), offences, keep, match_plain_variants, BROADCAST_LIMIT)
 
 
 def total_days(components: DataFrame, *keys: str) -> DataFrame:
     """Custody days of a component table (``quantity``, ``unit``) per key, or over all of it."""
     days = F.sum(S.component_days(F.col("quantity"), F.col("unit")))
-    return components.groupBy(*keys).agg(F.coalesce(days, F.lit(0.0)).cast("bigint").alias("total_days"))
+    return components.groupBy(*keys).agg(F.coalesce(days, F.lit(0.0)).try_cast("bigint").alias("total_days"))
 
 
 # schema check ------------------------------------------------------------
 
-def check_columns(df: DataFrame, required: list[str] | None = None, strict: bool = False) -> dict[str, list[str]]:
-    """Missing and extra columns by name; with ``strict`` a missing one is an error."""
-    required = list(required or S.SENTENCE_COLUMNS)
-    missing = sorted(set(required) - set(df.columns))
-    extra = sorted(set(df.columns) - set(required))
-    if strict and missing:
-        raise ValueError(f"columns not found: {', '.join(missing)}")
-    return {"missing": missing, "extra": extra, "required": required}
-
-
-def column_report(df: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """The check as a table: ``column_name, status, filled`` (non-NULL values), in one scan."""
-    found = check_columns(df, required)
-    status = {c: "extra" for c in found["extra"]} | {
-        c: "missing" if c in found["missing"] else "present" for c in found["required"]
-    }
-    counts = df.agg(
-        *[
-            (F.lit(0).cast("bigint") if s == "missing" else F.count(F.col(f"`{c}`"))).alias(c)
-            for c, s in status.items()
-        ]
-    )
+def column_report(df: DataFrame, required: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Each required or present column: ``column_name, status, filled`` (non-NULL values), in one scan.
+
+    ``status`` is present, missing or extra. With ``strict`` a missing column is an error, before anything is read.
+    """
+    required = S.SENTENCE_COLUMNS if required is None else required
+    status = {c: "present" if c in df.columns else "missing" for c in required}
+    absent = [c for c, s in status.items() if s == "missing"]
+    if strict and absent:
+        raise ValueError(f"columns not found: {', '.join(sorted(absent))}")
+    status |= {c: "extra" for c in df.columns if c not in status}
+    filled = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns))
     rows = [
-        F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("status"), F.col(f"`{c}`").alias("filled"))
+        F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("status"), (F.lit(0).cast("bigint") if s == "missing" else F.col(f"`{c}`")).alias("filled"))
         for c, s in status.items()
     ]
-    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return filled.select(F.inline(F.array(*rows)))
 
 
 # row by ordinal ----------------------------------------------------------
 
-# Rows that may be sorted to find one position; above this the range is narrowed first.
-SORT_AT_MOST = 100_000
-BUCKETS = 1024
+PIVOTS = 63
+# When so few rows are left they are sorted.
+LEFT_TO_SORT = 10_000
 
 
-def row_at(df: DataFrame, index: int, order_by: list[str], sort_at_most: int = SORT_AT_MOST) -> DataFrame:
-    """The row at a position of the given order, the position clamped to the table.
+def row_at(df: DataFrame, index: int, order_by: list[str], left_to_sort: int = LEFT_TO_SORT) -> DataFrame:
+    """The row at a position of the given order, NULL first, the position clamped to the table.
 
-    Finding a position needs no global sort. The leading order columns, where
-    they are integers (as row numbers of a source are), are counted in
-    equal-width buckets; the bucket holding the position is cut into buckets
-    again, and so on until few enough rows are left to sort. Each round is one
-    scan of that column with a pushed-down range and returns at most
-    ``BUCKETS`` counts. For tables read with ``with_order`` order by
-    ``ord.file, ord.block, ord.row``.
+    Finding a position needs no global sort. Each round takes up to ``PIVOTS`` order keys of the rows still in question
+    (those with the smallest hashes, and the largest key), counts the rows between them and goes on with the part that
+    holds the position: one scan to choose the pivots and one to count, whatever the columns' types. The order should tell
+    rows apart; among rows with equal keys any may be the answer. For tables read with ``with_order`` order by
+    ``ord.file, ord.name, ord.block, ord.row``.
     """
     rows = df.count()
     if rows == 0:
         raise ValueError("the table is empty")
-    position = max(0, min(index, rows - 1))
-    pool = df
-    for name in order_by:
-        value = F.col(name)
-        integer = isinstance(pool.select(value).schema[0].dataType, T.IntegralType)
-        if rows <= sort_at_most or not integer:
-            break
-        low, high, filled = pool.agg(F.min(value), F.max(value), F.count(value)).first()
-        if position < rows - filled:
-            # Rows without a value come first; the next column orders them.
-            pool, rows = pool.where(value.isNull()), rows - filled
-            continue
-        position, rows = position - (rows - filled), filled
-        narrowed = pool.where(value.isNotNull())
-        while rows > sort_at_most and low < high:
-            width = (high - low) // BUCKETS + 1
-            bucket = F.call_function("div", value - F.lit(low), F.lit(width)).alias("bucket")
-            for number, rows in narrowed.groupBy(bucket).count().orderBy("bucket").collect():
-                if position < rows:
-                    break
-                position -= rows
-            low, high = low + number * width, min(high, low + (number + 1) * width - 1)
-            narrowed = pool.where(value.between(low, high))
-        pool = narrowed
-    return pool.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]).offset(position).limit(1)
+    position, pool = max(0, min(index, rows - 1)), df
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)))
+    kind = df.select(key.alias("key")).schema["key"].dataType
+    for seed in itertools.count():
+        if rows <= left_to_sort:
+            return pool.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]).offset(position).limit(1)
+        keys = pool.select(key.alias("key"))
+        low, high = keys.agg(F.min("key"), F.max("key")).first()
+        if low == high:
+            return pool.limit(1)
+        chosen = keys.orderBy(F.xxhash64("key", F.lit(seed))).limit(PIVOTS - 1).collect()
+        pivots = dict.fromkeys([tuple(high), *(tuple(row["key"]) for row in chosen)])
+        points = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(pivot, kind.fields))) for pivot in pivots))
+        part = F.size(F.filter(points, lambda point: point <= key))
+        for number, rows in pool.groupBy(part.alias("part")).count().orderBy("part").collect():
+            if position < rows:
+                break
+            position -= rows
+        pool = pool.where(part == number)

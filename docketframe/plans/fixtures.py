@@ -120,26 +120,9 @@ _SOURCES = {
 }
 
 
-# Row keys to spread small tables by. Hashing a key, unlike dealing rows out in
-# turn, places a row the same way again when a task is repeated.
-_ROW_KEYS = {
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "part": ["p_partkey"],
-    "documents": ["doc_id"],
-    "orders": ["o_orderkey"],
-    "events": ["event_id"],
-    "pages": ["page_id"],
-}
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table, spread over the cores when it is stored in fewer pieces.
-
-    A table with enough splits is read as it lies, without a shuffle.
-    """
-    df = tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, *_ROW_KEYS[table]) if df.rdd.getNumPartitions() < cores else df
+    """A driver table, read as it lies."""
+    return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _derived(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

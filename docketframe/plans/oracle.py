@@ -361,6 +361,11 @@ RELATED = [
         f"SELECT r.*, m.citation AS metadata_citation, m.case_id FROM related r JOIN metadata m ON m.decision = {decision_in('r.citation')}",
     ),
 ]
+LATEST = (
+    "latest",
+    "SELECT arg_max(request_id, CASE WHEN status = 200 THEN 1000000000000 ELSE 0 END + request_id) AS request_id"
+    " FROM fx_responses GROUP BY replace(lower(case_id), '-', ''), caseref_type",
+)
 METADATA_NULLS = [
     "citation_type", "official_reporter_citation", "year", "decision_number", "jurisdiction", "court_name", "court_level",
     "long_url", "short_url", "language", "docket_number", "decision_date",
@@ -374,7 +379,7 @@ def _reports() -> str:
     lists = "string_agg(citation || '=' || case_id, ' | ' ORDER BY pos) FILTER (caseref_type = '{}')"
     return with_(
         *related,
-        ("latest", "SELECT max(request_id) AS request_id FROM fx_responses GROUP BY case_id, caseref_type"),
+        LATEST,
         (
             "lists",
             f"""SELECT replace(lower(asked), '-', '') AS decision, {lists.format('citedCases')} AS cited, {lists.format('citingCases')} AS citing
@@ -434,16 +439,15 @@ WHERE i = greatest(0, least({ROW_INDEX}, n - 1))""",
         ),
         "case_sentences": with_(
             *LOOKUP, lookup(False),
-            select=f"SELECT uid, count(*) AS copies, {PARSED_FIELDS} FROM found WHERE {UID['case_id']} <> '' GROUP BY ALL"
-            f", {', '.join(c for c in SENTENCE_COLUMNS)}".replace("GROUP BY ALL, ", "GROUP BY offence_code, offence_name, "),
+            select=f"SELECT uid AS sentence_uid, {PARSED_FIELDS} FROM found WHERE {UID['case_id']} <> ''",
         ),
         "append_tables": with_(
             SENT, CITE,
-            select="SELECT uid, offence, date, jail FROM fx_sentences UNION ALL BY NAME SELECT court, uid, style_of_cause FROM fx_citations",
+            select="SELECT * FROM fx_sentences UNION ALL BY NAME SELECT * FROM fx_citations",
         ),
         "first_per_section": with_(OFF, FIRST, select="SELECT * FROM firsts"),
         "offence_variants": with_(
-            SENT, CELLS, ("codes", "SELECT *, coalesce(offence, '') AS k0 FROM cells WHERE raw_offence IS NOT NULL"), VARIANTS,
+            SENT, CELLS, ("codes", "SELECT *, coalesce(offence, '') AS k0 FROM cells"), VARIANTS,
             select=f"SELECT {KEYS}, raw_offence AS offence, k0 || ' | ' || k1 AS variants FROM variants",
         ),
         "offence_lookup": with_(
@@ -486,13 +490,15 @@ FROM cases c LEFT JOIN metadata m ON m.decision = {decision_in('c.citation')}"""
         ),
         "relation_items": with_(*ITEMS, select="SELECT request_id, pos, title, citation, caseId FROM item_texts"),
         "relation_counts": with_(
-            *ANSWERS,
-            select="SELECT case_id, caseref_type, CAST(sum(len(items)) AS BIGINT) AS n_items FROM answers WHERE error IS NULL GROUP BY ALL",
+            *ANSWERS, LATEST,
+            select="SELECT replace(lower(case_id), '-', '') AS decision, caseref_type, status, error, len(items) AS n_items"
+            " FROM answers WHERE request_id IN (SELECT request_id FROM latest)",
         ),
         "relation_edges": with_(
-            *ANSWERS, CITE,
+            *ANSWERS, LATEST, CITE,
             select="""SELECT case_key, lower(court) AS court_key, replace(lower(uid), '-', '') AS decision, caseref_type, error, len(items) AS n_items
-FROM fx_citations JOIN answers ON replace(lower(uid), '-', '') = replace(lower(case_id), '-', '') WHERE court IS NOT NULL
+FROM fx_citations JOIN answers ON replace(lower(uid), '-', '') = replace(lower(case_id), '-', '')
+WHERE court IS NOT NULL AND request_id IN (SELECT request_id FROM latest)
 UNION ALL SELECT case_key, NULL, NULL, NULL, 'Could not parse citation: ' || raw_citation, 0 FROM fx_citations WHERE court IS NULL""",
         ),
         "related_citation": with_(*RELATED[:-3], select="SELECT request_id, pos, citation FROM related"),

@@ -175,16 +175,13 @@ def cases_with_many_counts(spark, sf):
 
 @query
 def case_sentences(spark, sf):
-    cases = df_.case_sentences(fx.sentences(spark, sf), fx.offences(spark, sf), per_row=100)
-    rows = cases.select("case_id", F.explode("sentences").alias("s"))
-    return rows.select(F.col("s.uid").alias("uid"), F.col("s.copies").alias("copies"), *sentence_fields("s.sentence."))
+    rows = df_.case_sentences(fx.sentences(spark, sf), fx.offences(spark, sf))
+    return rows.select(F.col("key").alias("sentence_uid"), *sentence_fields())
 
 
 @query
 def append_tables(spark, sf):
-    sentences = fx.sentences(spark, sf).select("uid", "offence", "date", "jail")
-    citations = fx.citations(spark, sf).select("court", "uid", "style_of_cause")
-    return df_.append_tables([sentences, citations])
+    return df_.append_tables([fx.sentences(spark, sf), fx.citations(spark, sf)])
 
 
 # offences ----------------------------------------------------------------
@@ -196,7 +193,7 @@ def first_per_section(spark, sf):
 
 @query
 def offence_variants_(spark, sf):
-    rows = fx.sentences(spark, sf).where(F.col("offence").isNotNull())
+    rows = fx.sentences(spark, sf)
     return rows.select(*SENTENCE_KEYS, "offence", joined(offence_variants(F.col("offence"))).alias("variants"))
 
 
@@ -336,10 +333,8 @@ def relation_items(spark, sf):
 
 @query
 def relation_counts(spark, sf):
-    counts = df_.relation_counts(fx.relation_responses(spark, sf))
-    return counts.where(F.col("error").isNull()).groupBy("case_id", "caseref_type").agg(
-        F.sum("n_items").alias("n_items")
-    )
+    counts = df_.relation_counts(df_.latest_answers(fx.relation_responses(spark, sf)))
+    return counts.select("decision", "caseref_type", "status", "error", "n_items")
 
 
 @query

@@ -6,7 +6,10 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution does the run-time half of the physical planning: it sizes
 # shuffle partitions, splits hot join keys and swaps join strategies once the
-# real sizes are known. The jobs place no fixed partition counts of their own.
+# real sizes are known. It only merges shuffle partitions, so on a large cluster
+# spark.sql.adaptive.coalescePartitions.initialPartitionNum has to be set from
+# the cluster: about the largest shuffle divided by 128 MB, at least three times
+# the cores. The jobs place no fixed partition counts of their own.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

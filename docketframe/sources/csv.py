@@ -40,8 +40,8 @@ def _reader(spark: SparkSession, multi_line: bool):
 
 
 def _fields(line: Column) -> Column:
-    """Number of fields in a raw line; separators inside quotes do not count."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
+    """Number of fields in a raw line; separators inside quotes, closed or not, do not count."""
+    bare = F.regexp_replace(line, '"[^"]*("|$)', "")
     return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
 
 
@@ -52,16 +52,19 @@ def read_table(
     with_order: bool = False,
     multi_line: bool = False,
     file_number: int = 0,
+    strict_quotes: bool = True,
 ) -> DataFrame:
     """One CSV file, or a directory of files with the same header, all text.
 
-    Rows with too many fields are skipped, rows with too few are filled with
+    A file whose header differs from the first one's is an error. Rows with too many fields are skipped, rows with too few are filled with
     NULL, blank lines are skipped. Column names come from the header unless
     given. ``with_order`` adds ``ord``, the position of the row: a comparable
     struct that needs no sort and no shuffle to make.
 
     Files are split, so a line break inside quotes needs ``multi_line`` (one
-    task per file); meeting one without it is an error, not a broken row.
+    task per file). Meeting one without it is an error, or with
+    ``strict_quotes=False`` that line is skipped. A line that has too many
+    fields even before its open quote is skipped like other broken rows.
     """
     columns = columns or _reader(spark, multi_line).csv(path).columns
     schema = ", ".join(f"`{c}` string" for c in [*columns, RAW])
@@ -72,6 +75,8 @@ def read_table(
         .option("columnNameOfCorruptRecord", RAW)
         # A pruned parser sees only the asked-for fields and cannot tell a ragged row.
         .option("columnPruning", False)
+        # Columns are taken by place, so every header must name them in this order.
+        .option("enforceSchema", False)
         .csv(path)
     )
     if with_order:
@@ -87,10 +92,11 @@ def read_table(
     raw, first = F.col(RAW), F.col(f"`{columns[0]}`")
     blank = (strip(raw) == "") & (F.coalesce(strip(first), F.lit("")) == "")
     cut_off = (F.length(raw) - F.length(F.translate(raw, '"', ""))) % 2 == 1
+    fits = _fields(raw) <= len(columns)
     if not multi_line:
-        broken = F.raise_error(F.lit("line break inside quotes: read this table with multi_line=True"))
-        raw = F.when(cut_off, broken.cast("string")).otherwise(raw)
-    keep = raw.isNull() | (~blank & (_fields(raw) <= len(columns)))
+        broken = F.raise_error(F.lit("line break inside quotes: read this table with multi_line=True")) if strict_quotes else F.lit(False)
+        fits = F.when(fits & cut_off, broken.cast("boolean")).otherwise(fits)
+    keep = raw.isNull() | (~blank & fits)
     return lines.where(keep).drop(RAW)
 
 

@@ -108,7 +108,6 @@ def test_edges(spark, graph):
     rows = d.relation_edges(*graph).select("case_key", "court_key", "decision", "caseref_type", "error", F.size("items")).collect()
     assert sorted(map(tuple, rows), key=str) == sorted(
         [
-            (1, "abcj", "2024abcj1", "citedCases", None, 1),
             (1, "abcj", "2024abcj1", "citedCases", None, 4),
             (1, "abcj", "2024abcj1", "citingCases", "Rate limit reached", 0),
             (3, None, None, None, "Could not parse citation: three", 0),
@@ -118,6 +117,14 @@ def test_edges(spark, graph):
     )
 
 
+def test_a_good_answer_outlives_a_late_refusal(spark, graph):
+    citations, responses = graph
+    late = spark.createDataFrame([response(9, "2024-ABCJ-1", "citedCases", 429, "")], RESPONSE_TYPE)
+    answers = d.latest_answers(responses.unionByName(late))
+    assert sorted((r.decision, r.caseref_type, r.status) for r in answers.collect()) == [("2024abcj1", "citedCases", 200), ("2024abcj1", "citingCases", 429)]
+    assert {r.caseref_type: r.n_items for r in d.relation_counts(answers).collect()} == {"citedCases": 4, "citingCases": 0}
+
+
 def test_related_cases_drop_unknown_ones(graph):
     citations, responses = graph
     rows = d.related_cases(d.relation_items(responses), d.citation_metadata(citations), "request_id").collect()

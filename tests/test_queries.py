@@ -2,12 +2,14 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 import docketframe as d
 from check import connect, multiset
 from docketframe.plans import fixtures as fx
+from docketframe.plans.oracle import oracle_sql
+from docketframe.plans.queries import QUERIES
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -22,7 +24,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, sf_dir, name):
-    frame = queries()[name](spark, sf_dir)
+    frame = QUERIES[name](spark, sf_dir)
     relation = con.sql(oracle_sql()[name])
     ours, theirs = multiset(frame.columns, frame.collect()), multiset(relation.columns, relation.fetchall())
     assert sorted(frame.columns) == sorted(relation.columns)
@@ -60,6 +62,12 @@ def test_parse_shuffles_no_sentence(spark, sf_dir, stored):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange" not in sentences_side
 
 
+def test_sentences_by_case_shuffle_nothing(spark, sf_dir, stored):
+    plan = plan_of(d.case_sentences(stored, fx.offences(spark, sf_dir)))
+    sentences_side = plan.split("BroadcastExchange")[0]
+    assert sentences_side.count("FileScan parquet") == 1 and "Exchange" not in sentences_side
+
+
 def test_case_filter_reaches_the_scan(stored):
     plan = plan_of(d.sentences_for_case(stored, "2024ord77"))
     assert "StringStartsWith(uid,2024ord77)" in plan

@@ -188,13 +188,18 @@ def test_missing_and_extra_columns(spark):
     }
 
 
-def test_check_columns(spark):
-    rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*S.SENTENCE_COLUMNS, "extra_col"]))
-    assert d.check_columns(rows) == {"missing": [], "extra": ["extra_col"], "required": S.SENTENCE_COLUMNS}
-    assert d.check_columns(rows, ["uid", "zz", "aa"])["missing"] == ["aa", "zz"]
-    assert d.check_columns(rows, [])["required"] == S.SENTENCE_COLUMNS
-    with pytest.raises(ValueError, match="zz"):
-        d.check_columns(rows, ["zz"], strict=True)
+def test_column_report(spark):
+    rows = spark.createDataFrame([("x", None)], "uid string, extra_col string")
+    report = {tuple(r) for r in d.column_report(rows, ["uid", "zz"]).collect()}
+    assert report == {("uid", "present", 1), ("zz", "missing", 0), ("extra_col", "extra", 0)}
+    with pytest.raises(ValueError, match="aa, zz"):
+        d.column_report(rows, ["uid", "zz", "aa"], strict=True)
+
+
+def test_no_cell_ends_the_job(spark):
+    rows = spark.createDataFrame([sentence(jail="99999999999999999999d", fine="1e400"), sentence(jail="9" * 400 + "d", fine="-1e400")], SENTENCE_TYPE)
+    out = d.parse_sentences(rows, spark.createDataFrame(OFFENCES, OFFENCE_TYPE)).select("jail.total_days", "fine").collect()
+    assert [tuple(r) for r in out] == [(None, "$inf"), (None, "$-inf")]
 
 
 def test_json_keeps_nulls(spark):
@@ -222,16 +227,10 @@ def test_counts_skip_rows_without_case(spark):
     assert [tuple(r) for r in d.cases_with_many_sentences(rows).collect()] == [("a", 2)]
 
 
-def test_busy_case_is_spread(spark):
-    rows = spark.createDataFrame(
-        [sentence(uid=f"hot_{i}") for i in range(500)] + [sentence(uid="hot_0")] * 300 + [sentence(uid=f"c{i}_1") for i in range(20)],
-        SENTENCE_TYPE,
-    )
-    out = d.case_sentences(rows, spark.createDataFrame(OFFENCES, OFFENCE_TYPE), per_row=50).collect()
-    assert max(len(r.sentences) for r in out) < 120
-    assert sum(1 for r in out if r.case_id == "hot") == 10
-    assert sum(s.copies for r in out for s in r.sentences) == 820
-    assert {s.uid for r in out for s in r.sentences if r.case_id == "hot"} == {f"hot_{i}" for i in range(500)}
+def test_sentences_by_case(spark):
+    rows = spark.createDataFrame([sentence(uid=u) for u in ["hot_1", "hot_1", " hot_2", "c_1", None, " ", "_x"]], SENTENCE_TYPE)
+    out = d.case_sentences(rows, spark.createDataFrame(OFFENCES, OFFENCE_TYPE)).collect()
+    assert sorted((r.case_id, r.key) for r in out) == [("c", "c_1"), ("hot", "hot_1"), ("hot", "hot_1"), ("hot", "hot_2")]
 
 
 @pytest.mark.parametrize("index", [-5, 0, 1, 57, 499, 2999, 3000, 10**9])
@@ -241,10 +240,20 @@ def test_row_at_matches_a_full_sort(spark, index):
     rows = spark.createDataFrame(data, "k bigint, i bigint").repartition(7)
     expected = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[max(0, min(index, 2999))]
     for limit in (10, 100_000):
-        (got,) = d.row_at(rows, index, ["k", "i"], sort_at_most=limit).collect()
+        (got,) = d.row_at(rows, index, ["k", "i"], left_to_sort=limit).collect()
         assert tuple(got) == expected
 
 
+@pytest.mark.parametrize("kind, values", [("string", ["b", "a", "", None, "z" * 50]), ("bigint", [-(2**63), 2**63 - 1, 0, None]), ("int", [-(2**31), 2**31 - 1, None])])
+def test_row_at_of_any_order(spark, kind, values):
+    data = [(v, i) for i in range(200) for v in values]
+    rows = spark.createDataFrame(data, f"k {kind}, i int")
+    ordered = sorted(data, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else "" if kind == "string" else 0, r[1]))
+    for index in (0, 150, 333, len(data) - 1):
+        assert tuple(d.row_at(rows, index, ["k", "i"], left_to_sort=20).first()) == ordered[index]
+    assert d.row_at(rows.select("k"), 10, ["k"], left_to_sort=20).first().k is None
+
+
 def test_row_at_of_an_empty_table(spark):
     with pytest.raises(ValueError, match="empty"):
         d.row_at(spark.createDataFrame([], "k bigint"), 0, ["k"])

@@ -50,14 +50,3 @@ def test_much_cited_case(spark, skewed):
     joined = d.join_metadata(rows, d.citation_metadata(citations), F.col("citation"), how="left")
     assert "skew=true" in final_plan(joined)
     assert joined.where("metadata is not null").count() == N // 3 and joined.count() == N
-
-
-def test_busy_case(spark, skewed):
-    rows = spark.range(0, N, 1, 16).select(
-        F.concat(hot("c", "hot", "c"), F.lit("_"), F.col("id").cast("string")).alias("uid")
-    )
-    table = spark.createDataFrame([(1, "cc_1", "One")], "ord int, section string, offence_name string")
-    cases = d.case_sentences(rows, table, per_row=1000)
-    assert "skew=true" in final_plan(cases)
-    assert cases.agg(F.sum(F.size("sentences"))).first()[0] == N
-    assert cases.agg(F.max(F.size("sentences"))).first()[0] < 1300

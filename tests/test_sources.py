@@ -35,6 +35,20 @@ def test_line_break_in_quotes(spark, tmp_path):
         d.read_table(spark, path).collect()
 
 
+def test_stray_quote_in_a_wide_line(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'a,b,c\n1,2,3\n1,2,3,4"\n7,8,9\n')
+    assert cells(d.read_table(spark, path)) == [("1", "2", "3"), ("7", "8", "9")]
+    path = write(tmp_path / "b.csv", 'a,b,c\n1,2,3\n1,"2,3\n7,8,9\n')
+    assert cells(d.read_table(spark, path, strict_quotes=False)) == [("1", "2", "3"), ("7", "8", "9")]
+
+
+def test_other_header_in_a_directory(spark, tmp_path):
+    write(tmp_path / "1.csv", "uid,offence\nu1,o1\n")
+    write(tmp_path / "2.csv", "offence,uid\no2,u2\n")
+    with pytest.raises(Exception, match="header"):
+        d.read_table(spark, str(tmp_path)).collect()
+
+
 def test_missing_value_tokens(spark, tmp_path):
     path = write(tmp_path / "a.csv", f"{HEADER}\nu,None,NA,n/a,null,<NA>,NaN,N/A\nu2, NA,x,-,.,0,nan.,Null\n")
     first, second = cells(d.read_sentences(spark, path))
@@ -64,7 +78,7 @@ def test_file_order(spark, tmp_path):
         order = ["ord.file", "ord.block", "ord.row"]
         for index in (0, 777, 19_999, 50_000):
             for limit in (100, 100_000):
-                got = d.row_at(offences, index, order, sort_at_most=limit).first().offence_name
+                got = d.row_at(offences, index, order, left_to_sort=limit).first().offence_name
                 assert got == f"name {min(index, 19_999)}"
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
