@@ -1,4 +1,4 @@
-"""Case texts against plain restatements of the layout rules."""
+"""Case texts: written examples, and what holds for any text."""
 
 import random
 import re
@@ -20,15 +20,6 @@ def run(spark, fn, texts):
     return [r.p for r in rows.select("i", fn(F.col("t")).alias("p")).orderBy("i").collect()]
 
 
-def clean_model(text):
-    at = text.find("!")
-    if at >= 0 and "PDF" in text[at:]:
-        text = text[:at] + text[at:].split("PDF", 1)[1]
-    for pattern, new in [(r"(?<!__)\n(?!__)", " "), (r"\n\s+", "\n"), ("  +", " "), (r"\n\s*\n", "\n"), (r"(?:\*\s+){2,}\*", "")]:
-        text = re.sub(pattern, new, text)
-    return text.strip()
-
-
 def random_texts(seed, pieces, n=800):
     rng = random.Random(seed)
     return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(n)]
@@ -37,9 +28,21 @@ def random_texts(seed, pieces, n=800):
 PIECES = ["\n", "\n\n", "__", "__\n", " ", "  ", "*", "* ", "* * *", "!", "PDF", "a", "é", "[1] ", "] ", "\t", "\xa0", "**_ _**", "# ", " (CanLII) "]
 
 
+CLEANED = {
+    "": "", "a\nb": "a b", "a __\n b": "a __\nb", "x ! y PDF z": "x z", "x ! y": "x ! y",
+    "a   b": "a b", "a * * * b": "a  b", "a * b": "a * b", "a\n\nb": "a b",
+}
+
+
 def test_clean_text(spark):
-    texts = random_texts(1, PIECES)
-    assert run(spark, C.clean_text, texts) == [clean_model(t) for t in texts]
+    assert dict(zip(CLEANED, run(spark, C.clean_text, list(CLEANED)))) == CLEANED
+
+
+def test_cleaning_loses_layout_only(spark):
+    texts = [t for t in random_texts(1, PIECES) if "!" not in t]
+    for text, clean in zip(texts, run(spark, C.clean_text, texts)):
+        left = lambda t: re.sub(r"[\s*]", "", t)
+        assert left(clean) == left(text) and clean == clean.strip()
 
 
 def test_long_separator_run(spark):
@@ -47,44 +50,30 @@ def test_long_separator_run(spark):
 
 
 def test_paragraphs(spark):
-    texts = random_texts(2, [*PIECES, "\n__\n", "\n\n__\n", "[12] ", "ninechar]"])
-
-    def model(body):
-        out = []
-        for part in re.split(r"\n+__\n+", body):
-            part = part.strip()
-            at = part[:10].find("] ")
-            part = part[at + 2:].lstrip() if at >= 0 else part
-            out += [part] if part else []
-        return out
-
-    assert run(spark, C.paragraphs, texts) == [model(t) for t in texts]
-
-
-def split_model(text):
-    chunks = [c.strip() for c in text.split(SEP) if c.strip()]
-    if len(chunks) < 4:
-        return "", text.strip(), "", False
-    body = SEP.join(chunks[4:])
-    tops = [c for c in chunks if "Loading paragraph markers" in c]
-    if not tops:
-        return "", body, "", False
-    ends = [tops[0].rfind(m) + len(m) for m in (ENG, FR) if m in tops[0]]
-    header = tops[0][max(ends):] if ends else tops[0]
-    header, heading = header.strip(), ""
-    marks = list(re.finditer(r"\*\*\s*_\s*_\s*\*\*", header))
-    if marks and header[marks[-1].end():].strip():
-        header, heading = header[: marks[-1].start()].rstrip(), header[marks[-1].end():].strip()
-    return header, body, heading, True
+    examples = {
+        "": [], "one": ["one"], "[1] one\n__\n[2] two": ["one", "two"], "a\n\n__\n\nb": ["a", "b"],
+        "[12]  x": ["x"], "ninechars] x": ["ninechars] x"], " \n__\n ": [],
+    }
+    assert dict(zip(examples, run(spark, C.paragraphs, list(examples)))) == examples
+
+
+def test_paragraphs_have_text(spark):
+    for parts in run(spark, C.paragraphs, random_texts(2, [*PIECES, "\n__\n", "\n\n__\n", "[12] "])):
+        assert all(part.strip() for part in parts)
 
 
 def test_split(spark):
-    pieces = [SEP, SEP, SEP, ENG, FR, "Loading paragraph markers", "text", " \n", "**_ _**", "** _ _ **_ _**", "Heading", "# R v A, 2024 X 1 (CanLII) "]
-    texts = random_texts(3, pieces, 1500)
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, markdown string")
-    got = {r.i: (r.header, r.body, r.section_heading, r.header_found) for r in d.split_cases(rows).collect()}
-    for i, text in enumerate(texts):
-        assert got[i] == split_model(text), repr(text)
+    page = ["a", "b", "c"]
+    examples = {
+        SEP.join([*page, ENG + "head", "body"]): ("head", "body", "", True),
+        SEP.join([*page, ENG + FR + "head **_ _** Facts", "p1", "p2"]): ("head", "p1" + SEP + "p2", "Facts", True),
+        SEP.join([*page, "no mark", "body"]): ("", "body", "", False),
+        "short" + SEP + "text": ("", "short" + SEP + "text", "", False),
+        "": ("", "", "", False),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(examples)], "i int, markdown string")
+    got = {list(examples)[r.i]: (r.header, r.body, r.section_heading, r.header_found) for r in d.split_cases(rows).collect()}
+    assert got == examples
 
 
 def test_split_with_other_separators(spark):
