@@ -1,0 +1,220 @@
+"""Operators that judge each document by itself, against plain restatements."""
+
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from docketframe.llm import language, licences, packing, pii, queries, repetition, token_counts, url_filter
+from docketframe.llm.mixing import word_count
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+ODD_TEXTS = [None, "", " \n\t ", "é" * 50, "a", "x y " * 3000, "one two\n" * 30, "<|endoftext|> a<|endoftext|>", "a\x1cb\u2003c\u3000d", "1 2 3 +"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    rows = [(r.doc_id, r.text, "clash") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + i, text, None) for i, text in enumerate(ODD_TEXTS)] + [(7, "same id", None), (7, "same id", None), (None, "no id", None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3).cache()
+
+
+def rows_of(texts):
+    return [(r.doc_id, r.text or "") for r in texts.collect()]
+
+
+def test_token_counts_equal_the_library(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = sorted(((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows_of(texts)), key=str)
+    for known in (50, 400_000):
+        got = token_counts.count_tokens(texts, path, max_known=known).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == want
+        assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+
+
+def windows(words, size):
+    places = {}
+    for i in range(len(words) - size + 1):
+        places.setdefault(tuple(words[i: i + size]), []).append(i)
+    return places.values()
+
+
+def test_repetition_base_counts(texts):
+    want = []
+    for i, t in rows_of(texts):
+        words, lines = WORDS.findall(t), [line for line in t.split("\n") if WORDS.search(line)]
+        repeated = {p + k for at in windows(words, 8) if len(at) > 1 for p in at for k in range(8)}
+        failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+        want.append((i, len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), failed))
+    got = repetition.repetition_quality(texts).collect()
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got), key=str) == sorted(want, key=str)
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_longest_repeats_of_random_texts(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["a " * 70]
+    rules = repetition.RepetitionRules(min_repeat=3)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.covered_words, r.longest_repeat) for r in repetition.repetition_quality(rows, rules).collect()}
+    for i, text in enumerate(texts):
+        words, spans = text.split(), []
+        for a in range(len(words)):
+            for b in range(a + 1, len(words)):
+                n = 0
+                while b + n < len(words) and words[a + n] == words[b + n]:
+                    n += 1
+                spans += [(a, n), (b, n)] if n >= 3 else []
+        assert got[i] == (len({a + k for a, n in spans for k in range(n)}), max((n for _, n in spans), default=0))
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}
+            if fits[kind]:
+                out.append((*m.span(), kind))
+    return sorted(out)
+
+
+def test_patterns_as_written():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1.@+ -()%2") for _ in range(rng.randint(1, 24)))
+        assert sorted(pii.pattern_spans(text)) == plain_spans(text), text
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
+
+
+def test_personal_data(spark, texts):
+    extra = spark.createDataFrame([(-1, "été (212) 555-7788 or bob[at]site.com, no 12-34"), (-2, "x 1.2.3.4, 300.1.1.1 joe@x.org")], "doc_id long, text string")
+    found = {}
+    for r in pii.personal_data(texts.select("doc_id", "text").unionByName(extra)).collect():
+        found.setdefault(r.doc_id, []).append(([(x.start, x.end, x.kind) for x in r.base], [(x.start, x.end, x.kind) for x in r.added]))
+    assert found[-1] == [([], [(4, 18, "phone"), (22, 37, "email")])]
+    assert found[-2][0][0] == [(2, 9, "ip"), (21, 30, "email")]
+    for i, t in rows_of(texts):
+        assert plain_spans(t) in [sorted(base) for base, _ in found[i]]
+    quiet = [added for i, t in rows_of(texts) if not re.search("[0-9@]", t) for _, added in found[i]]
+    assert quiet and not any(quiet)
+
+
+def test_field_learned_its_lines():
+    field = pii.train_field(steps=150)
+    for features, labels in pii.labelled_runs(pii.LABELLED):
+        emission = np.array([[field.emission[[field.names[n] for n in own]].sum(axis=0) for own in features]])
+        assert pii.viterbi(emission, np.array([len(labels)]), field.transition)[0].tolist() == labels
+
+
+def test_languages(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train_language_model(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.detect_languages(docs, model).withColumn("held", language.held_out(F.col("doc_id"))).collect()
+    held = [r for r in found if r.held]
+    assert sum(r.lang_pred == r.row.lang for r in held) >= 0.95 * len(held)
+    mixed = spark.createDataFrame([(1, "the thionst and of " * 6 + "les aux éeau ouai de la " * 8), (2, "12 !"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.detect_languages(mixed, model).collect()}
+    assert got[1].languages == ["fr", "en"] and 0.5 < got[1].score < 0.9 and abs(sum(got[1].proportions) - 1) < 1e-5
+    assert (got[2].lang_pred, got[2].score, got[3].lang_pred) == ("und", 0.0, "und")
+    odd = language.detect_languages(texts, model)
+    assert odd.count() == texts.count() and odd.select("row.*").columns == texts.columns
+    empty = language.train_language_model(docs.where("false"))
+    assert {r.lang_pred for r in language.detect_languages(texts, empty).collect()} == {"und"}
+
+
+def test_urls(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").select("page_id", "url")
+    model = url_filter.train_url_model(url_filter.label_pages(pages))
+    odd = [(1, None), (2, ""), (3, "x"), (4, "HTTP://EXAMPLE.org"), (5, "http://a.example.org/en/1x?y#z"), (6, "http://EXAMPLE.ORG/es/"), (7, "ftp://h/a/b://c?x"),
+           (8, "http://notexample.org/es/1"), (9, "http://a.com/fr/#x"), (9, "http://a.com/fr/#x"), (10, "s://com/de/")]
+    rows = url_filter.filter_urls(spark.createDataFrame(odd, "page_id long, url string"), model).collect()
+    got = sorted((r.page_id, r.host, r.path, r.rule) for r in rows)
+    assert got == [
+        (1, "", "", None), (2, "", "", None), (3, "", "", None), (4, "example.org", "", None), (5, "a.example.org", "/en/1x", "example.org/en/1"),
+        (6, "example.org", "/es/", "example.org/es/"), (7, "h", "/a/b://c", None), (8, "notexample.org", "/es/1", "org/"), (9, "a.com", "/fr/", "com/fr/"),
+        (9, "a.com", "/fr/", "com/fr/"), (10, "com", "/de/", "com/de/"),
+    ]
+    judged = [r for r in url_filter.filter_urls(pages, model).collect() if r.rule is None]
+    bad = lambda r: any(word in r.host for word in url_filter.UNWANTED)
+    assert sum((r.verdict == "block") == bad(r) for r in judged) >= 0.95 * len(judged)
+
+
+def test_licences(spark):
+    model = licences.train_licence_model(spark)
+    rows = [
+        (1, "Hello\nThis program comes under the Apache License, Version 2.0; you may obtain a copy.\nbye", "Apache-2.0", True),
+        (2, "Licensed under CC BY-NC 4.0.", "CC-BY-NC", True), (3, "Licensed under the Zorblax License v9", "unknown", False),
+        (4, "His driving license was taken", "none", False), (5, None, "none", False), (6, "", "none", False), (7, "a\n" * 1000, "none", False),
+        (7, "Released under the MIT License.", "MIT", True),
+    ]
+    frame = spark.createDataFrame([(i, t, 1) for i, t, *_ in rows], "doc_id long, text string, family int")
+    got = licences.scan_licences(frame, model)
+    assert sorted((r.doc_id, r.family, r.confirmed) for r in got.collect()) == sorted((i, f, c) for i, _, f, c in rows)
+    assert licences.scan_licences(frame.where("false"), model).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def least_padding(lengths, n):
+    """All ways to cut the distinct lengths into at most n buckets."""
+    values = sorted(set(lengths))
+
+    def best(first, left):
+        if first == len(values):
+            return 0
+        if not left:
+            return float("inf")
+        return min(sum(values[j] - x for x in lengths if values[first] <= x <= values[j]) + best(j + 1, left - 1) for j in range(first, len(values)))
+
+    return best(0, n)
+
+
+def test_packing_pads_least(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 3, 4):
+        lengths = [rng.choice([0, 1, 3, 9, 20, 22, 57, 90]) for _ in range(40)]
+        rows = spark.createDataFrame([(i, x, "old") for i, x in enumerate(lengths)], "doc_id long, n int, bucket string")
+        got = packing.pack(rows, F.col("n"), n_buckets=n, batch_tokens=100).collect()
+        assert sum(r.padding for r in got) == least_padding(lengths, n) and len(got) == 40
+        batches = {}
+        for r in got:
+            assert r.n_tokens <= r.bucket_bound
+            batches.setdefault(r.batch_id, []).append(r)
+        for rows_in in batches.values():
+            assert len(rows_in) * rows_in[0].bucket_bound <= 100 and sorted(r.slot for r in rows_in) == list(range(len(rows_in)))
+        full = {b: max(1, 100 // max(1, b)) for b in {r.bucket_bound for r in got}}
+        assert sum(len(x) < full[x[0].bucket_bound] for x in batches.values()) <= n
+
+
+def test_packing_odd_rows(spark, texts):
+    got = packing.pack(texts, word_count(F.col("text")))
+    assert got.count() == texts.count()
+    want = sorted((len(WORDS.findall(t)) for _, t in rows_of(texts)))
+    assert sorted(r.n_tokens for r in got.select("n_tokens").collect()) == want
+    assert packing.pack(texts.where("false"), F.lit(1)).count() == 0
+
+
+def test_length_bins_follow_lengths(spark):
+    rows = spark.range(1, 300_000).select("id", packing.length_bin(F.col("id")).alias("bin"))
+    assert rows.groupBy("bin").agg((F.max("id") / F.min("id")).alias("r"), F.min("bin")).where("r > 1.003").count() == 0
+    assert rows.agg(F.count_distinct("bin"), F.max("bin")).first()[0] <= 2048 + 512 * 8
+
+
+@pytest.mark.parametrize("name", ["op1_packing", "op5_language", "op6_token_counts", "op7_url_filter", "op9_personal_data", "op10_repetition"])
+def test_queries_return_every_row(spark, sf_dir, name):
+    table = "pages" if name == "op7_url_filter" else "documents"
+    frame = queries.QUERIES[name](spark, sf_dir)
+    assert len(set(frame.columns)) == len(frame.columns)
+    assert frame.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
