@@ -12,6 +12,7 @@ Only DataFrame operations run on the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -105,19 +106,19 @@ def exact_duplicates(
     file and row number, so a file read twice into one frame gives rows that stay together. Other columns are ignored. Returns ``doc_id, keep_id, group_size, kept, text_sha256, file, place``: of equal texts the row with the
     smallest doc_id stays (missing ids last; of rows that share it the first by file and row number), ``group_size`` is
     the number of rows with the text. NULL counts as empty, and an empty table gives an empty one. ``checkpoint`` names the folder
-    of the state in the shared storage; without it a new one is made. With an old one the rows of earlier calls count too.
+    of the state in the shared storage; without it a new one is made. With an old one the records of earlier calls count
+    too; their texts, which may be gone, are not compared again.
     """
     spark = docs.sparkSession
     if not has_places(docs):
         docs = stored(docs.select("doc_id", "text"), "documents")
-    log = stored(records(docs, digest), "records")
     checkpoint = checkpoint or new_path(spark, "state")
-    path = log.inputFiles()[0].rpartition("/")[0] if log.inputFiles() else None
-    if path:
-        update_state(spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(path), checkpoint)
-        state = stored(read_state(spark, checkpoint), "state")
-    else:
-        state = log.select("digest", F.col("doc_id").alias("keep_id"), "file", "place", F.lit(0).cast("long").alias("group_size"))
+    arrived = f"{checkpoint}/records/{uuid.uuid4().hex}"
+    records(docs, digest).write.parquet(arrived)
+    log = spark.read.schema(RECORD).parquet(arrived)
+    stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(f"{checkpoint}/records/*")
+    update_state(stream, f"{checkpoint}/stream")
+    state = stored(read_state(spark, f"{checkpoint}/stream"), "state")
 
     # The full texts of all hits, each group reduced inside the tasks before the shuffle.
     hits = stored(state.where("group_size > 1").select("digest"), "hits")

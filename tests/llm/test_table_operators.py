@@ -56,7 +56,7 @@ def test_state_outlives_the_stream(spark, tmp_path):
     spark.createDataFrame([(5, "a"), (1, "b"), (8, "c")], "doc_id long, text string").write.parquet(two)
     checkpoint = str(tmp_path / "state")
     exact_dedup.exact_duplicates(spark.read.parquet(one), checkpoint=checkpoint).collect()
-    assert {r.keep_id: r.group_size for r in exact_dedup.read_state(spark, checkpoint).collect()} == {4: 1, 6: 1}
+    assert {r.keep_id: r.group_size for r in exact_dedup.read_state(spark, f"{checkpoint}/stream").collect()} == {4: 1, 6: 1}
     later = exact_dedup.exact_duplicates(spark.read.parquet(two), checkpoint=checkpoint).collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in later} == {(5, 4, 2, False), (1, 1, 2, True), (8, 8, 1, True)}
 
