@@ -51,12 +51,15 @@ def citation_metadata(citations: DataFrame, keep: list[str] | None = None) -> Da
 
 
 def keyed_metadata(metadata: DataFrame) -> DataFrame:
-    """``decision, metadata`` with one row per decision key."""
-    fields = [c for c in metadata.columns]
-    keyed = metadata.where(F.col("case_id").isNotNull()).select(
-        decision_code(F.col("case_id")).alias("decision"), F.struct(*fields).alias("metadata")
-    )
-    return keyed.groupBy("decision").agg(F.min("metadata").alias("metadata"))
+    """``decision, metadata`` with one row per decision key.
+
+    The key is that of the uid, or of the citation where there is no uid; a row with a uid goes before one without.
+    """
+    uid = F.nullif(decision_code(F.col("case_id")), F.lit(""))
+    row = F.struct(uid.isNull().alias("unnamed"), F.struct(*metadata.columns).alias("metadata"))
+    keyed = metadata.select(F.coalesce(uid, citation_key(F.col("citation"))).alias("decision"), row.alias("row"))
+    first = keyed.where(F.col("decision").isNotNull()).groupBy("decision").agg(F.min("row").alias("row"))
+    return first.select("decision", "row.metadata")
 
 
 def join_metadata(cases: DataFrame, metadata: DataFrame, citation: Column, how: str = "inner") -> DataFrame:

@@ -46,7 +46,14 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     fresh shuffles, and an aggregation on the key would be joined as it lies.
     The hash of the key as a second join column asks for that shuffle; the
     unique side is the small price for a left side that may be hot.
+
+    Rows without a key meet nothing: an inner join drops them before the shuffle,
+    a left join deals them out by a hash of their other plain columns.
     """
     spread = F.xxhash64(key)
+    dealt = spread
+    if how == "left":
+        plain = [f"`{f.name}`" for f in left.schema.fields if f.name != key and isinstance(f.dataType, T.AtomicType)]
+        dealt = F.when(F.col(key).isNull(), F.xxhash64(*plain)).otherwise(spread) if plain else spread
     keys = ["__spread", key]
-    return left.withColumn("__spread", spread).join(right.withColumn("__spread", spread), keys, how).drop("__spread")
+    return left.withColumn("__spread", dealt).join(right.withColumn("__spread", spread), keys, how).drop("__spread")

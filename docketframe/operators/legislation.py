@@ -1,11 +1,11 @@
-"""Statutes cited in the paragraphs of decisions."""
+"""Statutes cited in the paragraphs of decisions. All of the jobs are narrow."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketframe.functions.legislation import statute_name, statute_section, statute_urls
+from docketframe.functions.legislation import legislation_entries, statute_name, statute_section, statute_urls
 
 
 def legislation_links(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
@@ -27,41 +27,24 @@ def legislation_links(cases: DataFrame, key: str = "doc_id", paragraphs: str = "
     )
 
 
-def cited_legislation(links: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Links grouped to ``key, name, section, para_nos, first_at``.
+def legislation_lists(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
+    """``key, cited_legislation``: one array per row, in order of first appearance, empty where nothing is cited."""
+    entries = legislation_entries(F.col(paragraphs))
+    return cases.select(key, F.coalesce(entries, F.array()).alias("cited_legislation"))
 
-    A citation of a statute as a whole (NULL section) does not count in a
-    paragraph that also cites one of its sections; an empty section neither
-    displaces nor is displaced. ``first_at`` is the place of first appearance.
-
-    Only the links move, never the texts, and they move once: with the rows
-    placed by ``key`` both steps below find their groups inside one partition.
-    A group is bounded by the text of one decision.
-    """
-    placed = links.repartition(F.col(key))
-    same_paragraph = Window.partitionBy(key, "name", "para_no")
-    sectioned = F.max(F.coalesce(F.col("section") != "", F.lit(False))).over(same_paragraph)
-    counted = F.col("section").isNotNull() | ~F.col("__sectioned")
-    return (
-        placed.withColumn("__sectioned", sectioned)
-        .groupBy(key, "name", "section")
-        .agg(
-            F.sort_array(F.collect_set(F.when(counted, F.col("para_no")))).alias("para_nos"),
-            F.min(F.struct("para_no", "link_pos")).alias("first_at"),
-        )
-        .where(F.size("para_nos") > 0)
-    )
 
+def ordered_legislation(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
+    """``key, rank, name, section, para_nos``: the entries of each row with their rank by first appearance, from 1.
 
-def ordered_legislation(cited: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``cited`` with its rank by first appearance inside each decision, from 1."""
-    by_place = Window.partitionBy(key).orderBy("first_at")
-    return cited.select(key, F.row_number().over(by_place).alias("rank"), "name", "section", "para_nos")
+    A citation of a statute as a whole (NULL section) does not count in a paragraph that also cites one of its
+    sections. Nothing is shuffled; rows that share a key keep lists of their own.
+    """
+    # The outer form, as in ``legislation_links``.
+    rows = cases.select(key, F.posexplode_outer(legislation_entries(F.col(paragraphs))).alias("pos", "entry"))
+    found = rows.where(F.col("entry").isNotNull())
+    return found.select(key, (F.col("pos") + 1).alias("rank"), "entry.name", "entry.section", "entry.para_nos")
 
 
-def legislation_lists(cited: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One array per decision, in order of first appearance."""
-    entries = F.array_sort(F.collect_list(F.struct("first_at", "name", "section", "para_nos")))
-    return cited.groupBy(key).agg(
-        F.transform(entries, lambda e: e.dropFields("first_at")).alias("cited_legislation")
-    )
+def cited_legislation(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
+    """``key, name, section, para_nos``: ``ordered_legislation`` without the rank."""
+    return ordered_legislation(cases, key, paragraphs).drop("rank")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketframe.functions.cases import report_header
 from docketframe.functions.citations import citation_key
+from docketframe.functions.legislation import legislation_entries
 from docketframe.operators.citations import keyed_metadata, latest_answers, related_cases, relation_items
 from docketframe.operators.joins import join_unique
-from docketframe.operators.legislation import cited_legislation, legislation_links, legislation_lists
+
+
+def named_case(case_id: Column) -> Column:
+    """The id a report is stored under; ``unknown`` for none and for an empty one."""
+    return F.coalesce(F.nullif(case_id, F.lit("")), F.lit("unknown"))
 
 
 def related_lists(responses: DataFrame, metadata: DataFrame, order: str = "request_id") -> DataFrame:
@@ -39,36 +44,30 @@ def build_reports(
     """Parsed cases, citation metadata and landed answers to
     ``key, case_id, citation, metadata, references, header, body_paragraphs``.
 
-    Cases without a citation, or with one no metadata is known for, give no
-    report. Everything small is put together first, keyed by ``key``; header and
-    paragraphs join last, so the texts are shuffled once. Store the parsed cases
-    and pass the stored table to keep them from being parsed once per branch.
+    Cases without a citation, or with one no metadata is known for, give no report; one whose metadata has no uid has the
+    case id ``unknown``. Each case is read and parsed once, its legislation is found in its row, and it is shuffled once,
+    to meet metadata and related cases on its decision.
     """
-    cited = cases.where(F.col("citation") != "").select(key, citation_key(F.col("citation")).alias("decision"))
+    read = cases.where(F.col("citation") != "").select(
+        key,
+        "citation",
+        citation_key(F.col("citation")).alias("decision"),
+        report_header(F.col("header")).alias("header"),
+        F.col("paragraphs").alias("body_paragraphs"),
+        legislation_entries(F.col("paragraphs")).alias("cited_legislation"),
+    )
     # Both sides of this join are grouped by decision already.
     known = keyed_metadata(metadata).join(related_lists(responses, metadata, order), "decision", "left")
-    linked = join_unique(cited, known, "decision").drop("decision")
-    statutes = legislation_lists(cited_legislation(legislation_links(cases, key), key), key)
-    facts = linked.join(statutes, key, "left")
-    texts = cases.where(F.col("citation") != "").select(
-        key, "citation", report_header(F.col("header")).alias("header"), F.col("paragraphs").alias("body_paragraphs")
-    )
-    related_type = [f.dataType for f in linked.schema if f.name == "cited_cases_metadata"][0]
-    statute_type = statutes.schema["cited_legislation"].dataType
 
-    def or_empty(column: str, kind):
-        return F.coalesce(F.col(column), F.array().cast(kind)).alias(column)
+    def or_empty(column: str):
+        return F.coalesce(F.col(column), F.array()).alias(column)
 
-    return texts.join(facts, key).select(
+    return join_unique(read, known, "decision").select(
         key,
-        F.coalesce("metadata.case_id", F.lit("unknown")).alias("case_id"),
+        named_case(F.col("metadata.case_id")).alias("case_id"),
         "citation",
         "metadata",
-        F.struct(
-            or_empty("cited_cases_metadata", related_type),
-            or_empty("citing_cases_metadata", related_type),
-            or_empty("cited_legislation", statute_type),
-        ).alias("references"),
+        F.struct(or_empty("cited_cases_metadata"), or_empty("citing_cases_metadata"), or_empty("cited_legislation")).alias("references"),
         "header",
         "body_paragraphs",
     )

@@ -94,7 +94,8 @@ SELECT o_orderkey AS case_key,
   CASE WHEN o_orderkey % 4 < 2 THEN concat('R v C', cast(o_custkey AS string))
        WHEN o_orderkey % 4 = 2 THEN '' END AS style_of_cause,
   CASE WHEN o_orderkey % 2 = 0 THEN concat('2024 ABCJ ', cast(o_orderkey AS string)) END AS atomic_citation,
-  concat('2024-ABCJ-', cast(o_orderkey AS string)) AS uid,
+  CASE o_orderkey % 12 WHEN 4 THEN NULL WHEN 8 THEN ''
+       ELSE concat('2024-ABCJ-', cast(o_orderkey AS string)) END AS uid,
   CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE 'ABCJ' END AS court
 FROM orders
 """

@@ -319,9 +319,6 @@ FORMATTED = (
     " WHEN style_of_cause <> '' THEN style_of_cause || ' (CanLII)' WHEN atomic_citation <> '' THEN atomic_citation || ' (CanLII)'"
     " ELSE raw_citation END"
 )
-META = ("metadata", f"SELECT {FORMATTED} AS citation, uid AS case_id, court, replace(lower(uid), '-', '') AS decision FROM fx_citations")
-
-
 def json_text(item: str, key: str) -> str:
     return f"CASE WHEN json_type({item}, '$.{key}') = 'VARCHAR' THEN {cell(f'''json_extract_string({item}, '$.{key}')''')} END"
 
@@ -331,6 +328,11 @@ def decision_in(x: str) -> str:
     return f"lower(replace(replace(coalesce({found}, {cell(x)}), ' ', ''), '-', ''))"
 
 
+META = (
+    "metadata",
+    f"SELECT citation, uid AS case_id, court, coalesce(nullif(replace(lower(uid), '-', ''), ''), {decision_in('citation')}) AS decision"
+    f" FROM (SELECT *, {FORMATTED} AS citation FROM fx_citations) x",
+)
 ANSWERS = [
     RESP,
     (
@@ -389,7 +391,7 @@ FROM related_known WHERE request_id IN (SELECT request_id FROM latest) GROUP BY
             "statutes",
             "SELECT doc_id, string_agg(name || '#' || coalesce(section, '-') || '@' || para_nos, ' | ' ORDER BY rank) AS legislation FROM ranked GROUP BY doc_id",
         ),
-        select=f"""SELECT c.doc_id, m.case_id, c.citation, m.citation AS metadata_citation, coalesce(l.cited, '') AS cited,
+        select=f"""SELECT c.doc_id, coalesce(nullif(m.case_id, ''), 'unknown') AS case_id, c.citation, m.citation AS metadata_citation, coalesce(l.cited, '') AS cited,
   coalesce(l.citing, '') AS citing, coalesce(s.legislation, '') AS legislation, {HEADER_TEXT.replace('header', 'c.header')} AS header,
   array_to_string(c.paragraphs, ' | ') AS body
 FROM cases c JOIN metadata m ON c.citation <> '' AND m.decision = {decision_in('c.citation')}
@@ -498,8 +500,8 @@ FROM cases c LEFT JOIN metadata m ON m.decision = {decision_in('c.citation')}"""
             *ANSWERS, LATEST, CITE,
             select="""SELECT case_key, lower(court) AS court_key, replace(lower(uid), '-', '') AS decision, caseref_type, error, len(items) AS n_items
 FROM fx_citations JOIN answers ON replace(lower(uid), '-', '') = replace(lower(case_id), '-', '')
-WHERE court IS NOT NULL AND request_id IN (SELECT request_id FROM latest)
-UNION ALL SELECT case_key, NULL, NULL, NULL, 'Could not parse citation: ' || raw_citation, 0 FROM fx_citations WHERE court IS NULL""",
+WHERE court IS NOT NULL AND uid IS NOT NULL AND request_id IN (SELECT request_id FROM latest)
+UNION ALL SELECT case_key, NULL, NULL, NULL, 'Could not parse citation: ' || raw_citation, 0 FROM fx_citations WHERE court IS NULL OR uid IS NULL""",
         ),
         "related_citation": with_(*RELATED[:-3], select="SELECT request_id, pos, citation FROM related"),
         "related_cases": with_(*RELATED, select="SELECT request_id, pos, citation, metadata_citation, case_id FROM related_known"),

@@ -273,28 +273,25 @@ def case_summary(spark, sf):
 
 # legislation -------------------------------------------------------------
 
-def _links(spark, sf) -> DataFrame:
-    return df_.legislation_links(df_.parse_cases(fx.case_markdown(spark, sf)))
-
-
 def _numbers(array: str) -> Column:
     return joined(array, lambda n: n.cast("string"), ",")
 
 
 @query
 def legislation_links(spark, sf):
-    return _links(spark, sf).select("doc_id", "para_no", "name", "section")
+    links = df_.legislation_links(df_.parse_cases(fx.case_markdown(spark, sf)))
+    return links.select("doc_id", "para_no", "name", "section")
 
 
 @query
 def cited_legislation(spark, sf):
-    found = df_.cited_legislation(_links(spark, sf))
+    found = df_.cited_legislation(df_.parse_cases(fx.case_markdown(spark, sf)))
     return found.select("doc_id", "name", "section", _numbers("para_nos").alias("para_nos"))
 
 
 @query
 def legislation_ordered(spark, sf):
-    found = df_.ordered_legislation(df_.cited_legislation(_links(spark, sf)))
+    found = df_.ordered_legislation(df_.parse_cases(fx.case_markdown(spark, sf)))
     return found.select(
         "doc_id", F.col("rank").cast("bigint").alias("rank"), "name", "section", _numbers("para_nos").alias("para_nos")
     )

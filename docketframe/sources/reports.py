@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketframe.operators.citations import METADATA_LIST_FIELDS, METADATA_TEXT_FIELDS
-from docketframe.operators.legislation import cited_legislation, legislation_links, ordered_legislation
+from docketframe.operators.legislation import ordered_legislation
+from docketframe.operators.reports import named_case
 
 _METADATA = "struct<{}>".format(
     ",".join(
@@ -24,17 +25,16 @@ REPORT_SCHEMA = (
 REPORT_FIELDS = ["citation", "metadata", "references", "header", "body_paragraphs"]
 
 
-def write_reports(reports: DataFrame, path: str, per_case: bool = True, mode: str = "errorifexists") -> None:
+def write_reports(reports: DataFrame, path: str, per_case: bool = False, mode: str = "errorifexists") -> None:
     """Reports as JSON documents.
 
-    ``per_case`` puts each report in a folder named by its case
-    (``case_id=2024abcj264/``; ``unknown`` without one). Use it for a corpus
-    whose cases a person browses; a folder per case does not suit millions of
-    them, so turn it off to get large files of one document per line with the
-    same content, ``case_id`` included.
+    Large files of one document per line, ``case_id`` (``unknown`` without one)
+    included. ``per_case`` puts each report in a folder named by its case
+    (``case_id=2024abcj264/``) instead, for a corpus whose cases a person
+    browses; a folder per case does not suit millions of them.
     """
     fields = [F.col(f) for f in REPORT_FIELDS]
-    case = F.coalesce("case_id", F.lit("unknown")).alias("case_id")
+    case = named_case(F.col("case_id")).alias("case_id")
     writer = reports.select(case, *fields).write.mode(mode).option("ignoreNullFields", False)
     (writer.partitionBy("case_id") if per_case else writer).json(path)
 
@@ -60,6 +60,5 @@ def read_reports(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 
 def report_legislation(reports: DataFrame, key: str = "case_id") -> DataFrame:
-    """Cited legislation found again in the paragraphs of stored reports."""
-    links = legislation_links(reports, key, "body_paragraphs")
-    return ordered_legislation(cited_legislation(links, key), key)
+    """Cited legislation found again in the paragraphs of stored reports, each report for itself."""
+    return ordered_legislation(reports, key, "body_paragraphs")

@@ -155,6 +155,26 @@ def test_report(spark, graph):
     assert got[11]["references"] == {"cited_cases_metadata": [], "citing_cases_metadata": [], "cited_legislation": []}
 
 
+def test_report_without_uid(spark):
+    citations = spark.createDataFrame(
+        [
+            (1, "one", None, "R v A", "2024 ABCJ 1", "ABCJ"),
+            (2, "two", "", "R v B", "2024 ABCJ 2", "ABCJ"),
+            (3, "three", None, "R v Other", "2024 ABCJ 3", "ABCJ"),
+            (4, "four", "2024-ABCJ-3", "R v Z", "2024 ABCJ 3", "ABCJ"),
+        ],
+        CITATION_TYPE,
+    )
+    cases = spark.createDataFrame(
+        [(i, "h", f"R v A, 2024 ABCJ {i}", ["p"]) for i in (1, 2, 3)], "doc_id int, header string, citation string, paragraphs array<string>"
+    )
+    responses = spark.createDataFrame([], RESPONSE_TYPE)
+    reports = d.build_reports(cases, d.citation_metadata(citations), responses).collect()
+    assert sorted((r.doc_id, r.case_id, r.metadata.citation) for r in reports) == [
+        (1, "unknown", "R v A, 2024 ABCJ 1 (CanLII)"), (2, "unknown", "R v B, 2024 ABCJ 2 (CanLII)"), (3, "2024-ABCJ-3", "R v Z, 2024 ABCJ 3 (CanLII)"),
+    ]
+
+
 def test_case_texts(spark, graph):
     citations, _ = graph
     cases = spark.createDataFrame(

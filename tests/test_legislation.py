@@ -7,7 +7,7 @@ CDSA = "/en/ca/laws/stat/sc-1996-c-19/latest/sc-1996-c-19.html"
 
 def cited(spark, documents):
     rows = spark.createDataFrame(list(enumerate(documents)), "doc_id int, paragraphs array<string>")
-    ranked = d.ordered_legislation(d.cited_legislation(d.legislation_links(rows))).orderBy("doc_id", "rank").collect()
+    ranked = d.ordered_legislation(rows).orderBy("doc_id", "rank").collect()
     out = {i: [] for i in range(len(documents))}
     for r in ranked:
         out[r.doc_id].append((r.name, r.section, r.para_nos))
@@ -53,7 +53,7 @@ def test_numbers_ascend_and_sections_win(spark):
 
 def test_lists_follow_first_appearance(spark):
     rows = spark.createDataFrame([(1, [f"[c]({CDSA}) [a]({CODE}#z)", f"[a]({CODE}#a)"])], "doc_id int, paragraphs array<string>")
-    (row,) = d.legislation_lists(d.cited_legislation(d.legislation_links(rows))).collect()
+    (row,) = d.legislation_lists(rows).collect()
     assert [tuple(e) for e in row.cited_legislation] == [
         ("Controlled Drugs and Substances Act", None, [1]), ("Criminal Code", "z", [1]), ("Criminal Code", "a", [2]),
     ]

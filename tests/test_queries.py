@@ -71,3 +71,19 @@ def test_sentences_by_case_shuffle_nothing(spark, sf_dir, stored):
 def test_case_filter_reaches_the_scan(stored):
     plan = plan_of(d.sentences_for_case(stored, "2024ord77"))
     assert "StringStartsWith(uid,2024ord77)" in plan
+
+
+@pytest.fixture(scope="module")
+def cases(spark, sf_dir, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "cases")
+    d.parse_cases(fx.case_markdown(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_legislation_shuffles_nothing(cases):
+    assert "Exchange" not in plan_of(d.ordered_legislation(cases)) and "Exchange" not in plan_of(d.legislation_lists(cases))
+
+
+def test_reports_read_each_case_once(spark, sf_dir, cases):
+    reports = d.build_reports(cases, d.citation_metadata(fx.citations(spark, sf_dir)), fx.relation_responses(spark, sf_dir))
+    assert plan_of(reports).count("paragraphs:array<string>") == 1

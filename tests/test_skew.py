@@ -50,3 +50,13 @@ def test_much_cited_case(spark, skewed):
     joined = d.join_metadata(rows, d.citation_metadata(citations), F.col("citation"), how="left")
     assert "skew=true" in final_plan(joined)
     assert joined.where("metadata is not null").count() == N // 3 and joined.count() == N
+
+
+def test_missing_keys_are_dealt_out(spark, skewed):
+    citation = F.when(F.col("id") % 3 > 0, F.concat(F.lit("2024 ABCJ "), F.col("id").cast("string"))).alias("citation")
+    rows = spark.range(0, N, 1, 16).select("id", citation)
+    citations = spark.createDataFrame([("2024abcj1", "raw")], "uid string, raw_citation string")
+    joined = d.join_metadata(rows, d.citation_metadata(citations), F.col("citation"), how="left")
+    assert joined.count() == N and joined.where("metadata is not null").count() == 1
+    missing = joined.where("citation is null").groupBy(F.spark_partition_id()).count().collect()
+    assert len(missing) > 1 and max(r["count"] for r in missing) < N // 3 // 2
