@@ -18,7 +18,8 @@ MAX_REPEATS = 3
 
 def word_count(text: Column) -> Column:
     """Runs of other than ASCII white space; 0 for NULL."""
-    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")
+    # A word takes the white space behind it, so that no run of white space is read once per starting place.
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")
     return F.coalesce(F.length(F.btrim(marks, F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)).cast("long")
 
 

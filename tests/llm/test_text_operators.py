@@ -206,6 +206,12 @@ def test_packing_odd_rows(spark, texts):
     assert packing.pack(texts.where("false"), F.lit(1)).count() == 0
 
 
+def test_word_counts(spark):
+    odd = [*ODD_TEXTS, " \n" * 200_000, "a" + " " * 400_000, " " * 400_000 + "b", "\ta\x0bb\x0c c\r\n", "a\u00a0b c"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, text string").select("id", word_count(F.col("text")).alias("n")).collect()
+    assert {r.id: r.n for r in rows} == {i: len(WORDS.findall(t or "")) for i, t in enumerate(odd)}
+
+
 def test_length_bins_follow_lengths(spark):
     rows = spark.range(1, 300_000).select("id", packing.length_bin(F.col("id")).alias("bin"))
     assert rows.groupBy("bin").agg((F.max("id") / F.min("id")).alias("r"), F.min("bin")).where("r > 1.003").count() == 0
