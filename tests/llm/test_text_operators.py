@@ -151,6 +151,19 @@ def test_urls(spark, sf_dir):
     assert sum((r.verdict == "block") == bad(r) for r in judged) >= 0.95 * len(judged)
 
 
+def test_urls_train_on_distinct_urls(spark):
+    rows = [(f"http://site{i}.com/{'abcd'[i % 4]}{i}", "allow") for i in range(50) for _ in range(60)]
+    rows += [(f"http://casino-{i}.net/win{i}", "block") for i in range(8) for _ in range(400)] + [("http://casino-hot.net/win", "block")] * 3000
+    frame = spark.createDataFrame(rows, "url string, label string")
+    want, got = (url_filter.train_url_model(x, max_urls=60) for x in (frame.distinct(), frame))
+    probe = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(sorted(set(rows)))], "page_id long, url string")
+    verdicts = [[r.verdict for r in url_filter.filter_urls(probe, model, rules=()).sort("page_id").collect()] for model in (want, got)]
+    assert verdicts[0] == verdicts[1] == [label for _, label in sorted(set(rows))]
+    assert got.threshold == want.threshold
+    for few in (1, 2):  # a sample of this size may miss a label, or hold it out
+        assert url_filter.train_url_model(frame, max_urls=few).threshold > float("-inf")
+
+
 def test_licences(spark):
     model = licences.train_licence_model(spark)
     rows = [
