@@ -1,9 +1,9 @@
 """Licence scan: a trained paragraph classifier whose predictions a template comparison confirms.
 
-A paragraph is a line of a text. One that holds any of the cues below is turned into word 1- and 2-grams, a sparse
-hashed vector, and classified by multinomial logistic regression into a licence family, ``unknown`` (a licence of none of
+A paragraph is a line of a text. One that holds any of the cues below is turned into word 1- and 2-grams and the letter
+runs of its words, a sparse hashed vector, and classified by multinomial logistic regression into a licence family, ``unknown`` (a licence of none of
 the families) or ``none`` (no licence at all). A family whose probability stays under a calibrated bound becomes
-``unknown``. A prediction is confirmed if the family's name phrases cover enough of the paragraph's n-grams.
+``unknown``, unless the paragraph holds all of one of its names. A prediction is confirmed if the family's name phrases cover enough of the paragraph's n-grams.
 Everything runs as DataFrame operations and fitted Spark models.
 """
 
@@ -54,9 +54,16 @@ PLAIN = [
     "They redistributed the seats after the vote.", "Wealth was redistributed among the towns.", "Poetic license allows for such lines.", "The pub lost its licence to sell beer.",
     "No permission was given for the march.", "Without permission nobody may enter.", "License plates are made in the north.", "A warrant was issued on Monday.",
     "Copyright in songs is old.", "The licence fee rose again.", "Permission slips are due on Friday.", "The book talks about the license of the age.",
+    "The film was released under another title.", "Leaflets were distributed under the doors.", "The hills are covered by snow.", "She is available under this number.",
+    "The novel was published under a pen name.", "The Apache lived in the south.", "He studied physics at MIT.", "Copyright (c) 2020 Jane Doe", "Copyright 2019 the authors.",
 ]
 LONE = ["license", "licence", "licensed", "licensing", "copyright", "permission", "warranty", "warrant", "redistribute", "redistribution", "public domain", "creative commons"]
-CUES = ("licen", "copyright", "spdx", "gpl", "redistribut", "warrant", "permission", "cc by", "cc-by", "cc0 1", "cc0-1", "creative commons", "public domain")
+CUES = ("licen", "copyright", "spdx", "gpl", "redistribut", "warrant", "permission")
+# The cues that are words or pairs of words; MIT and ISC only in capitals, as "mit" is a common German word.
+CUE_WORDS = (
+    r"(?i:\b(?:apache|bsd)\b|\bmpl(?:\b|v?[0-9])|\bcc0|\bcc[^a-z0-9]+by\b|\bcreative[^a-z0-9]+commons\b|\bpublic[^a-z0-9]+domain\b"
+    r"|\b(?:released|distributed|published|available)[^a-z0-9]+under\b|\bcovered[^a-z0-9]+by\b)|\b(?:MIT|ISC)\b"
+)
 NONE, UNKNOWN = "none", "unknown"
 N_FEATURES = 1 << 12
 LEAST_SIMILARITY = 0.6
@@ -75,7 +82,7 @@ def has_cue(text: Column) -> Column:
     low, found = F.lower(text), F.lit(False)
     for cue in CUES:
         found = found | F.contains(low, F.lit(cue))
-    return found
+    return found | F.rlike(text, F.lit(CUE_WORDS))
 
 
 def words_of(text: Column) -> Column:
@@ -107,7 +114,9 @@ def as_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 def vectors(rows: DataFrame, text: str) -> DataFrame:
     hashing = HashingTF(inputCol="_grams", outputCol="_vector", numFeatures=N_FEATURES, binary=True)
-    return hashing.transform(rows.withColumn("_words", words_of(F.col(text))).withColumn("_grams", grams_of(F.col("_words"))))
+    letters = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    rows = rows.withColumn("_words", words_of(F.col(text)))
+    return hashing.transform(rows.withColumn("_grams", F.array_distinct(F.concat(grams_of(F.col("_words")), letters))))
 
 
 def predictions(rows: DataFrame, text: str, regression: LogisticRegressionModel, labels: list[str]) -> DataFrame:
@@ -161,8 +170,10 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(has_cue(F.col("text")))
     lines = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     scored = predictions(lines.where(has_cue(F.col("text"))), "text", model.regression, model.labels)
-    family = F.when(F.col("_label").isin(NONE, UNKNOWN) | (F.col("probability") >= model.bound), F.col("_label")).otherwise(UNKNOWN)
-    found = scored.withColumn("family", family).withColumn("similarity", template_similarity(F.col("_words"), F.col("family")))
+    found = scored.withColumn("similarity", template_similarity(F.col("_words"), F.col("_label")))
+    sure = (F.col("probability") >= model.bound) | (F.col("similarity") == 1)
+    found = found.withColumn("family", F.when(F.col("_label").isin(NONE, UNKNOWN) | sure, F.col("_label")).otherwise(UNKNOWN))
+    found = found.withColumn("similarity", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("similarity")))
     return found.select("doc_id", "row", "paragraph", "text", "family", "probability", "similarity", (F.col("similarity") >= LEAST_SIMILARITY).alias("confirmed"))
 
 

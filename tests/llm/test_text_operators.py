@@ -180,6 +180,16 @@ def test_licences(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_every_licence_row_has_a_cue(spark):
+    rows = [text for label, text in licences.training_rows() if label != licences.NONE]
+    table = spark.createDataFrame([(text,) for text in rows], "text string")
+    assert [r.text for r in table.where(~licences.has_cue(F.col("text"))).collect()] == []
+    model = licences.train_licence_model(spark)
+    lost = {"Released under MPL-2.0.": "MPL", "Distributed under the terms of Apache-2.0.": "Apache-2.0", "All content here is published under BSD-3-Clause, unless noted.": "BSD"}
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(lost)), "doc_id long, text string"), model).sort("doc_id").collect()
+    assert [(r.family, r.n_paragraphs, r.confirmed) for r in got] == [(family, 1, True) for family in lost.values()]
+
+
 def least_padding(lengths, n):
     """All ways to cut the distinct lengths into at most n buckets."""
     values = sorted(set(lengths))
