@@ -1,9 +1,9 @@
 """Languages of each document as a mixture, by expectation-maximisation over its words.
 
 Every word is taken as drawn from one of the document's languages; its likelihood in a language is that of its letter
-trigrams. Expectation-maximisation estimates the proportions of all languages in a document. Then sets of the one, two
-and three leading languages are fitted again, and the set with the best likelihood less a penalty for each further
-language is the document's. The trigram model is learned from labelled documents.
+trigrams. Expectation-maximisation estimates the proportions of all languages in a document. Then sets of the leading
+languages, one more each time, are fitted again, as long as their likelihood less a penalty for each further language can
+still be the best; the set where it is the best is the document's. The trigram model is learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -146,14 +146,24 @@ def detect(texts: pa.Array, model: LanguageModel, penalty: float, steps: int) ->
     order = np.argsort(-share, axis=1, kind="stable")
     chosen = np.zeros_like(share)
     chosen_value = np.full(len(present), -np.inf)
-    for size in range(1, min(3, n_languages) + 1):
-        allowed = np.zeros_like(share)
-        np.put_along_axis(allowed, order[:, :size], 1, axis=1)
-        fitted = (share + 1e-3) * allowed
-        fitted, value = fit_proportions(likelihood, offset, first, row, fitted / fitted.sum(axis=1, keepdims=True), steps // 2 if size > 1 else 0)
-        value = value - penalty * (size - 1) * np.log(number + 1)
-        better = value > chosen_value
-        chosen[better], chosen_value[better] = fitted[better], value[better]
+    # No set explains a word better than the word's best language.
+    most = np.add.reduceat(offset.astype(np.float64), first)
+    for size in range(1, n_languages + 1):
+        cost = penalty * (size - 1) * np.log(number + 1)
+        open_ = most - cost > chosen_value
+        if not open_.any():
+            break
+        own = open_[row]
+        at = np.flatnonzero(open_)
+        begins = np.concatenate(([0], np.cumsum(number[at])[:-1]))
+        allowed = np.zeros_like(share[at])
+        np.put_along_axis(allowed, order[at, :size], 1, axis=1)
+        fitted = (share[at] + 1e-3) * allowed
+        fitted /= fitted.sum(axis=1, keepdims=True)
+        fitted, value = fit_proportions(likelihood[own], offset[own], begins, np.repeat(np.arange(len(at)), number[at]), fitted, steps // 2 if size > 1 else 0)
+        value = value - cost[at]
+        better = value > chosen_value[at]
+        chosen[at[better]], chosen_value[at[better]] = fitted[better], value[better]
     for i, at in enumerate(present):
         ranked = [k for k in np.argsort(-chosen[i], kind="stable") if chosen[i, k] > 0]
         best[at], score[at] = model.languages[ranked[0]], min(1.0, float(chosen[i, ranked[0]]))
