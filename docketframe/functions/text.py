@@ -86,5 +86,13 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     worked out once per row.
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The name, with underscores in front if a column of that name is taken already (in any case of letters)."""
+    lower = {name.lower() for name in taken}
+    while wanted.lower() in lower:
+        wanted = "_" + wanted
+    return wanted

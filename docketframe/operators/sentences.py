@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docketframe.functions import sentences as S
 from docketframe.functions.text import evaluate_once, text_or_null
@@ -168,39 +167,66 @@ def column_report(df: DataFrame, required: list[str] | None = None, strict: bool
 
 # row by ordinal ----------------------------------------------------------
 
-PIVOTS = 63
+LEAST_RANGES = 64
 # When so few rows are left they are sorted.
 LEFT_TO_SORT = 10_000
 
 
-def row_at(df: DataFrame, index: int, order_by: list[str], left_to_sort: int = LEFT_TO_SORT) -> DataFrame:
+def row_at(df: DataFrame, index: int, order_by: list[str], left_to_sort: int = LEFT_TO_SORT, ranges: int | None = None) -> DataFrame:
     """The row at a position of the given order, NULL first, the position clamped to the table.
 
-    Finding a position needs no global sort. Each round takes up to ``PIVOTS`` order keys of the rows still in question
-    (those with the smallest hashes, and the largest key), counts the rows between them and goes on with the part that
-    holds the position: one scan to choose the pivots and one to count, whatever the columns' types. The order should tell
-    rows apart; among rows with equal keys any may be the answer. For tables read with ``with_order`` order by
-    ``ord.file, ord.name, ord.block, ord.row``.
+    An order statistic without a global sort, for orders of any type, one column of the order after the other. A round deals
+    the values of that column alone into ranges and counts them per range; the row is among those between the first and
+    last value of the range that the position falls in, and the next round looks at these only. When a range holds one
+    value the rows that have it go on with the next column. At most ``left_to_sort`` rows are ever sorted.
+
+    A round reads one column twice (Spark samples the bounds of the ranges, then deals the values); the conditions on
+    earlier ranges reach the scan, so stored columns skip row groups by them. The driver learns one range per round: two
+    values and two numbers. The first and last value of a range are counted apart in the next round, so that every round
+    gets on however often a value repeats.
+
+    The order should tell rows apart; among rows with equal keys any may be the answer. For tables read with ``with_order``
+    order by ``ord.file, ord.name, ord.block, ord.row``. An empty table is an error.
     """
-    rows = df.count()
-    if rows == 0:
-        raise ValueError("the table is empty")
-    position, pool = max(0, min(index, rows - 1)), df
-    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)))
-    kind = df.select(key.alias("key")).schema["key"].dataType
-    for seed in itertools.count():
+    spark = df.sparkSession
+    ranges = ranges or max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pool, part, position = df, F.spark_partition_id(), F.greatest(F.lit(0), F.least(F.lit(index), F.col("total") - 1))
+    columns = iter(enumerate(order_by, 1))
+    number, column = next(columns)
+    while True:
+        counted = _range_counts(pool.select(F.col(column).alias("key")), ranges, part)
+        in_order = Window.orderBy("part")
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = counted.select("*", F.sum("rows").over(in_order).alias("upto"), F.sum("rows").over(whole).alias("total"))
+        found = placed.where(F.col("upto") > position).orderBy("part").limit(1).select(
+            "low", "high", "rows", (position - F.col("upto") + F.col("rows")).alias("position"), F.col("low").eqNullSafe(F.col("high")).alias("single")
+        ).toArrow()
+        if not found.num_rows:
+            raise ValueError("the table is empty")
+        low, high, rows, offset, single = (found.column(name)[0].as_py() for name in ("low", "high", "rows", "position", "single"))
+        # The values go back as a table of one row: unlike literals it keeps values of every type as they are.
+        bounds = spark.createDataFrame(found.select(["low", "high"]), placed.select("low", "high").schema)
+        first, last = (bounds.select(F.col(side)["value"]).scalar() for side in ("low", "high"))
+        value = F.col(column)
+        under = value.isNull() if high["value"] is None else value <= last
+        if low["value"] is not None:
+            under &= value >= first
+        elif high["value"] is not None:
+            under |= value.isNull()
+        pool, position = pool.where(under), F.lit(offset)
         if rows <= left_to_sort:
-            return pool.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]).offset(position).limit(1)
-        keys = pool.select(key.alias("key"))
-        low, high = keys.agg(F.min("key"), F.max("key")).first()
-        if low == high:
+            return pool.orderBy(*[F.col(c).asc_nulls_first() for c in order_by[number - 1:]]).offset(offset).limit(1)
+        part = F.spark_partition_id()
+        if not single:
+            part = F.when(F.col("key").eqNullSafe(first), -1).when(F.col("key").eqNullSafe(last), ranges).otherwise(part)
+        elif number < len(order_by):
+            number, column = next(columns)
+        else:
             return pool.limit(1)
-        chosen = keys.orderBy(F.xxhash64("key", F.lit(seed))).limit(PIVOTS - 1).collect()
-        pivots = dict.fromkeys([tuple(high), *(tuple(row["key"]) for row in chosen)])
-        points = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(pivot, kind.fields))) for pivot in pivots))
-        part = F.size(F.filter(points, lambda point: point <= key))
-        for number, rows in pool.groupBy(part.alias("part")).count().orderBy("part").collect():
-            if position < rows:
-                break
-            position -= rows
-        pool = pool.where(part == number)
+
+
+def _range_counts(keys: DataFrame, ranges: int, part: Column) -> DataFrame:
+    """``part, rows, low, high`` of the ranges that the column ``key`` is dealt into; ``low`` and ``high`` hold a ``value``, which may be NULL."""
+    dealt = keys.repartitionByRange(ranges, F.col("key").asc_nulls_first())
+    whole = F.struct(F.col("key").alias("value"))
+    return dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min(whole).alias("low"), F.max(whole).alias("high"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import docketframe as d
 from docketframe.functions import sentences as S
+from docketframe.operators import sentences
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
@@ -240,7 +241,7 @@ def test_row_at_matches_a_full_sort(spark, index):
     rows = spark.createDataFrame(data, "k bigint, i bigint").repartition(7)
     expected = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[max(0, min(index, 2999))]
     for limit in (10, 100_000):
-        (got,) = d.row_at(rows, index, ["k", "i"], left_to_sort=limit).collect()
+        (got,) = d.row_at(rows, index, ["k", "i"], left_to_sort=limit, ranges=16).collect()
         assert tuple(got) == expected
 
 
@@ -250,10 +251,30 @@ def test_row_at_of_any_order(spark, kind, values):
     rows = spark.createDataFrame(data, f"k {kind}, i int")
     ordered = sorted(data, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else "" if kind == "string" else 0, r[1]))
     for index in (0, 150, 333, len(data) - 1):
-        assert tuple(d.row_at(rows, index, ["k", "i"], left_to_sort=20).first()) == ordered[index]
-    assert d.row_at(rows.select("k"), 10, ["k"], left_to_sort=20).first().k is None
+        assert tuple(d.row_at(rows, index, ["k", "i"], left_to_sort=20, ranges=16).first()) == ordered[index]
+    assert d.row_at(rows.select("k"), 10, ["k"], left_to_sort=20, ranges=16).first().k is None
 
 
 def test_row_at_of_an_empty_table(spark):
     with pytest.raises(ValueError, match="empty"):
         d.row_at(spark.createDataFrame([], "k bigint"), 0, ["k"])
+
+
+def test_row_at_works_each_key_out_once(spark):
+    rows = spark.range(40_000).select((F.col("id") * 7 % 40_009).alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"), "id")
+    counts = sentences._range_counts(rows.select(F.col("t").alias("key")), 64, F.spark_partition_id())
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("concat(text ") == 1 and "rangepartitioning(key" in plan
+    got = d.row_at(rows, 31_000, ["t", "k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "text 1" not in plan and "rangepartitioning" not in plan
+    assert got.first().t == sorted(f"text {i}" for i in range(40_000))[31_000]
+
+
+def test_row_at_of_repeated_values_and_missing_ones(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, F.col("id") % 50).cast("double").alias("k"), F.col("id").alias("i")
+    )
+    ordered = sorted(((r.k, r.i) for r in rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for index in (0, 9_999, 10_000, 12_345, 24_000, 29_999):
+        assert tuple(d.row_at(rows, index, ["k", "i"], left_to_sort=500, ranges=16).first()) == ordered[index]
