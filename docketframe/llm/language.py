@@ -187,20 +187,24 @@ def detect_languages(docs: DataFrame, model: LanguageModel, penalty: float = 2.0
     number of words.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = "lang_pred string, score double, languages array<string>, proportions array<double>, gain double"
+    names = ["lang_pred", "score", "languages", "proportions", "gain"]
+    kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = batch.column(0)
-            ids = pc.struct_field(rows, "doc_id").cast(pa.int64())
-            for first, texts in text_slices(pc.struct_field(rows, "text").cast(pa.string())):
-                best, score, sets, shares, gain = detect(texts, model, penalty, steps)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.slice(first, len(texts)), ids.slice(first, len(texts)), pa.array(best, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), pa.array(gain)],
-                    names=["row", "doc_id", "lang_pred", "score", "languages", "proportions", "gain"],
-                )
-
-    source = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row"))
-    found = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>, gain double"
-    return source.mapInArrow(run, T.StructType([source.schema["row"], *T.StructType.fromDDL(found)]))
+            parts = [
+                pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(detect(texts, model, penalty, steps), kinds, strict=True)], names)
+                for _, texts in text_slices(batch)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, kinds, strict=True))))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Rows stay in the JVM, only texts go to Python; as a nondeterministic step it is not repeated in filters on its result.
+    detected = F.arrow_udf(run, T.StructType.fromDDL(found)).asNondeterministic()
+    whole = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    source = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.select("row", "doc_id", detected("text").alias("found")).select("row", "doc_id", *(f"found.{name}" for name in names))
 
 
 def least_gain(labelled: DataFrame, model: LanguageModel, max_documents: int = 10_000) -> float:

@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docketframe.llm.components import connected_components
+from docketframe.llm.exact_dedup import has_places
 from docketframe.llm.shared import stored
 from docketframe.llm.words import mix, split_words, text_slices, window_codes
 
@@ -83,36 +85,46 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_name(members: np.ndarray) -> bytes:
+    """A 128-bit name of the whole set."""
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: its set's size, a 128-bit name of the whole set, and the bucket keys."""
+    """Per document: its set's size and name, and the bucket keys; after them the other columns of ``docs``."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, keys = [], [], []
             for members in shingle_sets(batch.column(1), size):
                 sizes.append(len(members))
-                names.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+                names.append(set_name(members))
                 keys.append(band_keys(signature(members)) if len(members) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_name", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "set_name", "bands", *others],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_name binary, bands array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    kinds = T.StructType.fromDDL("doc_id long, n_shingles long, set_name binary, bands array<long>")
+    return source.mapInArrow(run, T.StructType([*kinds, *(source.schema[c] for c in others)]))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, members`` with the whole shingle set as bytes."""
+    """``doc_id, set_name, members`` with the whole shingle set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                sets = [x.tobytes() for x in shingle_sets(part.column(1), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
+                sets = list(shingle_sets(part.column(1), size))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([set_name(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    names=["doc_id", "set_name", "members"],
+                )
 
-    return docs.mapInArrow(run, "node long, members binary")
+    return docs.mapInArrow(run, "doc_id long, set_name binary, members binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -139,12 +151,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         group, heads = None, []
         for batch in batches:
             out = []
-            for leader, chunk, role, node, members in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            numbers = (batch.column(i).to_numpy().tolist() for i in range(4))
+            for i, (leader, chunk, role, node) in enumerate(zip(*numbers, strict=True)):
                 if (leader, chunk) != group:
                     group, heads = (leader, chunk), []
-                own = np.frombuffer(members, dtype=np.uint64)
+                own = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64)
                 if role == 0:
-                    heads.append(own)
+                    heads.append(own.copy())
                     continue
                 if any(similar(head, own, threshold) for head in heads):
                     out.append((leader, node))
@@ -164,22 +177,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     ``doc_id, n_shingles, component_id`` (the smallest doc_id reachable over links, itself included) and ``kept`` (that
     is its own).
 
-    NULL, empty and blank texts have no shingles and stay alone. Repeated rows of one doc_id share one component; rows
-    without a doc_id are linked with nothing, have a NULL component and are kept. An empty table gives an empty one.
+    NULL, empty and blank texts have no shingles and stay alone. Rows that share a doc_id are judged by the text that each
+    has. Rows without a doc_id are linked with nothing, have a NULL component and are kept. An empty table gives an empty one.
+    """
+    return components_of(docs.select("doc_id", "text"), shingle_words, threshold)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns, whatever their names.
+
+    Rows are told apart by file and row number, so that rows which share a doc_id are kept or dropped each by its text.
+    """
+    if not has_places(docs):
+        docs = stored(docs, "documents")
+    places = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
+    found = components_of(docs.select("doc_id", "text", *places), shingle_words, threshold)
+    gone = stored(found.where(~F.col("kept")).select("_file", "_place"), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row"), *places)
+    return rows.join(gone, ["_file", "_place"], "left_anti").select("row.*")
+
+
+def components_of(docs: DataFrame, shingle_words: int, threshold: int) -> DataFrame:
+    """What ``near_duplicates`` returns, and the columns of ``docs`` other than ``doc_id`` and ``text``.
+
+    Documents with the same set are one class, the node of the graph.
     """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     sketch = stored(sketches(docs, shingle_words), "sketches")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(
-        named.groupBy("set_name").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "classes"
+        named.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
     )
     in_bucket = classes.select("node", "n", F.explode("bands").alias("key"))
     crowded = in_bucket.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = stored(in_bucket.join(crowded, "key").select("key", "node", "n", "leader"), "buckets")
 
-    involved = members.select("node").distinct()
+    involved = classes.select("doc_id", "set_name", "node").join(members.select("node").distinct(), "node")
     # The row that stands for a class is found by document and set, so that repeated ids with other texts don't meet.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(involved, "node")
-    sets = stored(full_sets(texts.select("node", "text"), shingle_words), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(involved.select("doc_id").distinct(), "doc_id")
+    sets = stored(full_sets(texts, shingle_words).join(involved, ["doc_id", "set_name"]).select("node", "members"), "sets")
 
     lengths = members.groupBy("node").agg(F.max("n").alias("n"))
     pairs = members.where("leader <> node").select("leader", "node", "n").distinct()
@@ -201,9 +240,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
             parts = stored(connected_components(links), "components")
         left = left.join(leaders.select("key", "node"), ["key", "node"], "left_anti").drop("component")
 
-    named_parts = classes.select("set_name", "node").join(parts, "node", "left").select("set_name", F.coalesce("component", "node").alias("component_id"))
-    bare = sketch.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = named.select("doc_id", "n_shingles", "set_name").join(named_parts, "set_name").select("doc_id", "n_shingles", "component_id")
+    grouped = classes.select("set_name", "node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named_parts = grouped.select("set_name", "component").join(smallest, "component").select("set_name", "component_id")
+    bare = sketch.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *others)
+    found = named.select("doc_id", "n_shingles", "set_name", *others).join(named_parts, "set_name").select("doc_id", "n_shingles", "component_id", *others)
     return found.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -219,8 +260,8 @@ def shareable(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = np.frombuffer(members, dtype=np.int64)
+            for node, members in zip(batch.column(0).to_numpy().tolist(), batch.column(1), strict=True):
+                codes = np.frombuffer(members.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), node)), pa.array(codes)], names=["node", "code"])
 
     rows = sets.select("node", "members").mapInArrow(run, "node long, code long")
@@ -265,12 +306,14 @@ def confirmed_in_buckets(left: DataFrame, leaders: DataFrame, sets: DataFrame, c
         group, heads, table = None, [], None
         for batch in batches:
             out = []
-            for key, chunk, role, rank, node, component, n, s, members, bands in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            numbers = (batch.column(i).to_numpy().tolist() for i in range(8))
+            all_bands = batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for i, (key, chunk, role, rank, node, component, n, s) in enumerate(zip(*numbers, strict=True)):
                 if (key, chunk) != group:
                     group, heads, table = (key, chunk), [], None
-                own, bands = np.frombuffer(members, dtype=np.uint64), np.array(bands)
+                own, bands = np.frombuffer(batch.column(8)[i].as_buffer(), dtype=np.uint64), all_bands[i]
                 if role == 0:
-                    heads.append((rank, node, component, n, s, own, bands))
+                    heads.append((rank, node, component, n, s, own.copy(), bands.copy()))
                     continue
                 if table is None:
                     table = [np.array([x[i] for x in heads]) for i in (0, 2, 3, 4, 6)]
@@ -278,9 +321,9 @@ def confirmed_in_buckets(left: DataFrame, leaders: DataFrame, sets: DataFrame, c
                 most = np.minimum(shares, s)
                 fit = (ranks < rank) & (parts != component) & (100 * most >= threshold * (sizes + n - most))
                 fit[fit] = keys[fit][np.arange(fit.sum()), np.argmax(keys[fit] == bands, axis=1)] == key
-                for i in np.flatnonzero(fit):
-                    if similar(heads[i][5], own, threshold):
-                        out.append((heads[i][1], node))
+                for k in np.flatnonzero(fit):
+                    if similar(heads[k][5], own, threshold):
+                        out.append((heads[k][1], node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
             )
