@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketframe.llm import exact_dedup, language, licences, minmax, mixing, packing, pii, repetition, token_counts, url_filter
+from docketframe.llm import exact_dedup, hard_negatives, language, licences, minmax, mixing, packing, pii, repetition, token_counts, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,15 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op2_exact_dedup, op3_mixing, op4_licences, op5_language, op6_token_counts, op7_url_filter, op8_minmax, op9_personal_data, op10_repetition,
+        op1_packing, op2_exact_dedup, op3_mixing, op4_licences, op5_language, op6_token_counts, op7_url_filter, op8_minmax, op9_personal_data, op10_repetition, op13_hard_negatives,
     )
 }
