@@ -56,6 +56,39 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, p.component_id, d.doc_id = p.co
 FROM documents d JOIN parts p USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, 1 AS part, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 2, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, list([role, text]) OVER w AS node, text FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+  UNION ALL SELECT conv_id, 0, [], '' FROM convs
+), nodes AS (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(any_value(text), '{WORDS}')) AS saved
+  FROM paths GROUP BY node
+), below AS (SELECT DISTINCT a.node AS top, b.node AS node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), children AS (SELECT top, count(*) AS n FROM below JOIN nodes t ON t.node = top JOIN nodes n ON n.node = below.node WHERE n.depth = t.depth + 1 GROUP BY top
+), totals AS (
+  SELECT b.top, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+  FROM below b JOIN nodes n ON n.node = b.node LEFT JOIN children c ON c.top = b.node GROUP BY b.top
+), ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM paths) p
+  WHERE depth = last GROUP BY node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN totals t ON t.top = n.node LEFT JOIN children c ON c.top = n.node LEFT JOIN ends e ON e.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[:n.depth - 1] AND p.depth = n.depth - 1
+"""
+
 HARD_NEGATIVES = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -75,4 +108,4 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.ot
 QUALIFY row_number() OVER w <= 10
 """
 
-ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op8_minmax": MINMAX, "op13_hard_negatives": HARD_NEGATIVES}
+ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op8_minmax": MINMAX, "op12_prefix_trie": PREFIX_TRIE, "op13_hard_negatives": HARD_NEGATIVES}
