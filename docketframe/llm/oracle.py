@@ -39,23 +39,26 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated
 """
 
-MINMAX = rf"""
+LINKED = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents
 ), shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {{size}} THEN [array_to_string(w[i:i + {{size}} - 1], ' ') FOR i IN range(1, len(w) - {{size}} + 2)]
                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= {{threshold}} * (x.n + y.n - k)
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 ), parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, p.component_id, d.doc_id = p.component_id AS kept
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, p.component_id{{more}}
 FROM documents d JOIN parts p USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
+MINMAX = LINKED.format(size=4, threshold=80, more=", d.doc_id = p.component_id AS kept")
+NGRAM_JOIN = LINKED.format(size=3, threshold=90, more="")
+
 CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
 
@@ -108,4 +111,4 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.ot
 QUALIFY row_number() OVER w <= 10
 """
 
-ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op8_minmax": MINMAX, "op12_prefix_trie": PREFIX_TRIE, "op13_hard_negatives": HARD_NEGATIVES}
+ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op8_minmax": MINMAX, "op11_ngram_join": NGRAM_JOIN, "op12_prefix_trie": PREFIX_TRIE, "op13_hard_negatives": HARD_NEGATIVES}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketframe.llm import exact_dedup, hard_negatives, language, licences, minmax, mixing, packing, pii, prefix_trie, repetition, token_counts, url_filter
+from docketframe.llm import exact_dedup, hard_negatives, language, licences, minmax, mixing, ngram_join, packing, pii, prefix_trie, repetition, token_counts, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), ngram_words=3, threshold=90)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -81,6 +85,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op2_exact_dedup, op3_mixing, op4_licences, op5_language, op6_token_counts, op7_url_filter, op8_minmax, op9_personal_data, op10_repetition, op12_prefix_trie, op13_hard_negatives,
+        op1_packing, op2_exact_dedup, op3_mixing, op4_licences, op5_language, op6_token_counts, op7_url_filter, op8_minmax, op9_personal_data, op10_repetition, op11_ngram_join, op12_prefix_trie, op13_hard_negatives,
     )
 }
