@@ -142,7 +142,7 @@ def nodes_of(path: DataFrame) -> DataFrame:
     parts = salted.groupBy("key", "salt").agg(F.min("conv_id").alias("first"), F.count("*").alias("n"))
     whole = parts.groupBy("key").agg(F.min("first").alias("node_conv_id"), F.sum("n").alias("n_convs"))
     known = stored(parts.select("key", "salt").join(whole, "key"), "nodes")
-    bounds = ", ".join(f"{BRANCH ** k}L" for k in range(1, 63 // (BRANCH.bit_length() - 1) + 1))
+    bounds = ", ".join(f"{BRANCH ** k}L" for k in range(1, 62 // (BRANCH.bit_length() - 1) + 1))
     on_path = salted.join(known, ["key", "salt"]).withColumn("level", F.expr(f"size(filter(array({bounds}), x -> x < n_convs))"))
     along = Window.partitionBy("conv_id").orderBy("depth")
     shard = F.first("key").over(Window.partitionBy("conv_id", "level").orderBy("depth"))
