@@ -34,6 +34,9 @@ from docketframe.llm.words import mix
 
 LEADERS_PER_ROUND = 64
 SALT = 0x1F83D9ABFB41BD6B
+LARGEST_SET = 2**31
+# A digest's place is its band times this, plus its segment.
+BAND_STEP = 1 << 32
 
 
 def band_starts(largest: int, threshold: int) -> list[int]:
@@ -63,48 +66,61 @@ def named(sums: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
     return mix(sums + mix(segment.astype(np.uint64) + (np.uint64(band) << np.uint64(40)))).view(np.int64)
 
 
-def class_sizes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_name`` of every row."""
+def bands_of(n: int, starts: list[int]) -> list[int]:
+    """The bands under which a set of n n-grams is indexed."""
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    return [band for band in (own, own - 1) if band >= 0]
+
+
+def sketches(docs: DataFrame, size: int, starts: list[int], segments: list[int]) -> DataFrame:
+    """``doc_id, n_shingles, set_name, band, digests`` of every row: the digests of its own ``band``, by segment, then of the one below.
+
+    A band of one segment has none: in it only equal sets match, and these are one class anyway.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(x), set_name(x)) for x in shingle_sets(batch.column(1), size)]
+            sizes, names, own, keys = [], [], [], []
+            for members in shingle_sets(batch.column(1), size):
+                bands = bands_of(len(members), starts)
+                found = [named(subset_sums(members, band, segments[band])[0], band, np.arange(segments[band])) for band in bands if segments[band] > 1]
+                sizes.append(len(members))
+                names.append(set_name(members))
+                own.append(bands[0] if bands else -1)
+                keys.append(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], names=["doc_id", "n_shingles", "set_name"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(own, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_name", "band", "digests"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_name binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_name binary, band int, digests array<long>")
 
 
-def digests(sets: DataFrame, starts: list[int], segments: list[int], raised: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """``node, n, band, segment, key`` of the sets ``node, members``, under the band of their size and the one below.
+def indexed(classes: DataFrame, segments: list[int]) -> DataFrame:
+    """``key, node, place`` of every digest of the classes."""
+    here = F.get(F.array(*(F.lit(x) for x in segments)), F.col("band"))
+    rows = classes.where("size(digests) > 0").withColumn("own", here).select("node", "band", "own", F.posexplode("digests").alias("at", "key"))
+    place = F.when(F.col("at") < F.col("own"), F.col("band") * F.lit(BAND_STEP) + F.col("at")).otherwise((F.col("band") - 1) * F.lit(BAND_STEP) + F.col("at") - F.col("own"))
+    return rows.select("key", "node", place.alias("place"))
 
-    With ``raised`` (segments by band) not the subsets' digests, but those of their one-deletion neighbours in these segments.
-    """
-    bounds = np.array(starts)
+
+def neighbours(sets: DataFrame, starts: list[int], segments: list[int], raised: dict[int, np.ndarray]) -> DataFrame:
+    """``key, node`` of the subsets of the sets ``node, members`` with one n-gram left out, in the raised segments (by band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, blob in zip(batch.column(0).to_numpy().tolist(), batch.column(1), strict=True):
                 members = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
-                own = int(np.searchsorted(bounds, len(members), side="right")) - 1
-                for band in (own, own - 1):
-                    # With one segment only equal sets match, and these are one class already.
-                    if band < 0 or segments[band] == 1 or (raised is not None and band not in raised):
+                for band in bands_of(len(members), starts):
+                    if band not in raised:
                         continue
                     sums, segment, value = subset_sums(members, band, segments[band])
-                    at = np.arange(segments[band])
-                    if raised is not None:
-                        chosen = np.isin(segment, raised[band])
-                        at = segment[chosen]
-                        sums = sums[at] - value[chosen]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), x, dtype=kind)) for x, kind in ((node, np.int64), (len(members), np.int64), (band, np.int32))]
-                        + [pa.array(at.astype(np.int32)), pa.array(named(sums, band, at))],
-                        names=["node", "n", "band", "segment", "key"],
-                    )
+                    chosen = np.isin(segment, raised[band])
+                    at = segment[chosen]
+                    key = named(sums[at] - value[chosen], band, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), node, dtype=np.int64))], names=["key", "node"])
 
-    return sets.select("node", "members").mapInArrow(merged(run), "node long, n long, band int, segment int, key long")
+    return sets.select("node", "members").mapInArrow(merged(run), "key long, node long")
 
 
 def merged(run):
@@ -124,44 +140,52 @@ def merged(run):
     return wrapped
 
 
-def allocation(crowds: DataFrame, classes: DataFrame, starts: list[int], segments: list[int]) -> DataFrame:
-    """``band, left_out, raised``: pairs of segments where leaving out the first costs less with the second matched up to one difference.
+def allocation(crowds: DataFrame, classes: DataFrame, segments: list[int]) -> DataFrame:
+    """``left_out, raised``: places of segments where leaving out the first costs less with the second matched up to one difference.
 
-    ``crowds`` has the ``band``, ``segment`` and number of classes ``f`` of each digest that several classes have.
+    ``crowds`` has the ``place`` and number of classes ``f`` of each digest that several classes have; ``classes`` the size ``n``
+    and ``band`` of each.
     """
-    counted = crowds.groupBy("band", "segment").agg(F.sum(F.expr("f * (f - 1) / 2")).alias("pairs"))
-    own = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in starts)}), x -> x <= n)) - 1")
-    of_band = classes.select("n", F.explode(F.array(own, own - 1)).alias("band")).groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("ngrams"))
-    table = F.array(*(F.lit(x) for x in segments))
-    bands = counted.select("band").distinct().join(of_band, "band").withColumn("segments", F.get(table, F.col("band")))
-    listed = bands.select("*", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment")).join(counted, ["band", "segment"], "left").fillna(0, ["pairs"])
-    costs = listed.select("band", "segment", "segments", "pairs", "sets", (F.col("ngrams") / F.col("segments")).alias("deletions"))
-    crowded, quiet = Window.partitionBy("band").orderBy(F.desc("pairs"), "segment"), Window.partitionBy("band").orderBy("pairs", F.desc("segment"))
-    worst = costs.select("band", "segments", "sets", F.col("segment").alias("left_out"), F.col("pairs").alias("saved"), F.row_number().over(crowded).alias("turn"))
-    best = costs.select("band", F.col("segment").alias("raised"), (F.col("deletions") + F.col("pairs")).alias("cost"), F.row_number().over(quiet).alias("turn"))
-    return worst.join(best, ["band", "turn"]).where("turn <= segments div 2 AND saved + sets > cost").select("band", "left_out", "raised")
-
-
-def shared_digests(sets: DataFrame, classes: DataFrame, starts: list[int], segments: list[int]) -> DataFrame:
-    """``key, node, n, leader`` of every digest that several classes have, after the allocation; the smallest class leads."""
-    plain = stored(digests(sets, starts, segments), "digests")
-    crowded = F.count("*").alias("f"), F.min("node").alias("leader"), F.min("band").alias("band"), F.min("segment").alias("segment")
-    crowds = stored(plain.groupBy("key").agg(*crowded).where("f > 1"), "crowds")
-    allocated = stored(allocation(crowds, classes, starts, segments), "allocation")
+    counted = crowds.groupBy("place").agg(F.sum(F.expr("f * (f - 1) / 2")).alias("pairs"))
+    of_band = classes.select("n", F.explode(F.array("band", F.col("band") - 1)).alias("band")).groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("ngrams"))
+    number = F.get(F.array(*(F.lit(x) for x in segments)), F.col("band"))
+    bands = counted.select(F.expr(f"CAST(place div {BAND_STEP} AS INT)").alias("band")).distinct().join(of_band, "band").withColumn("segments", number)
+    first = F.col("band") * F.lit(BAND_STEP)
+    listed = bands.select("*", F.explode(F.sequence(first, first + F.col("segments") - 1)).alias("place"))
+    costs = listed.join(counted, "place", "left").fillna(0, ["pairs"]).withColumn("deletions", F.col("ngrams") / F.col("segments"))
+    crowded, quiet = Window.partitionBy("band").orderBy(F.desc("pairs"), "place"), Window.partitionBy("band").orderBy("pairs", F.desc("place"))
+    worst = costs.select("band", "segments", "sets", F.col("place").alias("left_out"), F.col("pairs").alias("saved"), F.row_number().over(crowded).alias("turn"))
+    best = costs.select("band", F.col("place").alias("raised"), (F.col("deletions") + F.col("pairs")).alias("cost"), F.row_number().over(quiet).alias("turn"))
+    return worst.join(best, ["band", "turn"]).where("turn <= segments div 2 AND saved + sets > cost").select("left_out", "raised")
+
+
+def shared_digests(docs: DataFrame, classes: DataFrame, size: int, starts: list[int], segments: list[int]) -> DataFrame:
+    """``key, node, leader`` of every digest that several classes have, after the allocation; the smallest class leads."""
+    rows = indexed(classes, segments)
+    met = F.count("*").alias("f"), F.min("node").alias("leader"), F.min("place").alias("place")
+    crowds = stored(rows.groupBy("key").agg(*met).where("f > 1"), "crowds")
+    allocated = stored(allocation(crowds, classes, segments), "allocation")
     # At most half of the segments, whose number goes with the longest text and not with the number of documents.
     raised: dict[int, list[int]] = {}
-    for row in allocated.select("band", "raised").collect():
-        raised.setdefault(row["band"], []).append(row["raised"])
-    kept = crowds.join(allocated.select("band", F.col("left_out").alias("segment")), ["band", "segment"], "left_anti")
-    rows = plain.select("key", "node", "n")
-    if raised:
-        deleted = digests(sets, starts, segments, {band: np.array(x) for band, x in raised.items()})
-        here = plain.join(allocated.select("band", F.col("raised").alias("segment")), ["band", "segment"], "left_semi")
-        near = stored(here.unionByName(deleted).select("key", "node", "n").distinct(), "neighbours")
-        met = near.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("leader")).where("f > 1")
-        quiet = kept.join(allocated.select("band", F.col("raised").alias("segment")), ["band", "segment"], "left_anti")
-        return near.join(met, "key").select("key", "node", "n", "leader").unionByName(rows.join(quiet.select("key", "leader"), "key"))
-    return rows.join(kept.select("key", "leader"), "key")
+    for row in allocated.select("raised").collect():
+        raised.setdefault(row["raised"] // BAND_STEP, []).append(row["raised"] % BAND_STEP)
+    left_out, up = (allocated.select(F.col(name).alias("place")) for name in ("left_out", "raised"))
+    kept = crowds.join(left_out, "place", "left_anti")
+    if not raised:
+        return rows.select("key", "node").join(kept.select("key", "leader"), "key")
+    near = classes.where(F.col("band").isin([*raised, *(band + 1 for band in raised)]))
+    sets = sets_of(docs, near, size)
+    deleted = neighbours(sets, starts, segments, {band: np.array(x) for band, x in raised.items()})
+    near = stored(rows.join(up, "place", "left_semi").select("key", "node").unionByName(deleted).distinct(), "neighbours")
+    led = near.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("leader")).where("f > 1")
+    exact = kept.join(up, "place", "left_anti").select("key", "leader")
+    return near.join(led.select("key", "leader"), "key").unionByName(rows.select("key", "node").join(exact, "key"))
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``node, members`` of the classes; the row that stands for a class is found by its document and set."""
+    texts = docs.join(classes.select("doc_id").distinct(), "doc_id")
+    return full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members")
 
 
 def next_leaders(left: DataFrame) -> DataFrame:
@@ -196,34 +220,34 @@ def jaccard_components(docs: DataFrame, ngram_words: int = 5, threshold: int = 8
     Rows without a doc_id are linked with nothing and have a NULL component. An empty table gives an empty one.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(class_sizes(source, ngram_words), "sizes")
+    starts = band_starts(LARGEST_SET, threshold)
+    segments = segments_of_bands(starts, threshold)
+    rows = stored(sketches(source, ngram_words, starts, segments), "sketches")
     filled = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = filled.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    parts = links_of_classes(source, classes, ngram_words, threshold)
+    first = F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.min_by("digests", "doc_id").alias("digests")
+    classes = stored(filled.groupBy("set_name").agg(*first).withColumn("node", F.monotonically_increasing_id()), "classes")
+    parts = links_of_classes(source, classes, ngram_words, threshold, starts, segments)
     grouped = classes.select("set_name", "node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = filled.join(grouped.select("set_name", "component").join(smallest, "component"), "set_name").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = filled.select("doc_id", "n_shingles", "set_name").join(grouped.select("set_name", "component").join(smallest, "component"), "set_name")
+    bare = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(bare)
 
 
-def links_of_classes(docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+def links_of_classes(docs: DataFrame, classes: DataFrame, size: int, threshold: int, starts: list[int], segments: list[int]) -> DataFrame:
     """``node, component`` of the classes that have a link."""
-    largest = classes.agg(F.max("n")).first()[0] or 0
-    starts = band_starts(largest, threshold)
-    segments = segments_of_bands(starts, threshold)
-    texts = docs.join(classes.select("doc_id").distinct(), "doc_id")
-    sets = stored(full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members"), "sets")
-    members = stored(shared_digests(sets, classes, starts, segments), "shared")
-
-    pairs = members.where("leader <> node").select("leader", "node", "n").distinct()
-    pairs = pairs.join(classes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
-    links = stored(confirmed(similar_sizes(pairs, threshold), sets, threshold), "links")
+    members = stored(shared_digests(docs, classes, size, starts, segments), "shared")
+    sizes = classes.select("node", "n")
+    pairs = members.where("leader <> node").select("leader", "node").distinct()
+    pairs = pairs.join(sizes, "node").join(sizes.withColumnsRenamed({"node": "leader", "n": "leader_n"}), "leader")
+    pairs = stored(similar_sizes(pairs, threshold), "pairs")
+    sets = stored(sets_of(docs, classes.join(members.select("node").distinct(), "node"), size), "sets")
+    links = stored(confirmed(pairs, sets, threshold), "links")
     parts = stored(connected_components(links), "components")
 
-    left = mixed_buckets(members.where("leader <> node").select("key", "node", "n"), parts)
+    left = mixed_buckets(members.where("leader <> node").select("key", "node"), parts)
     shared = shareable(sets.join(left.select("node").distinct(), "node"))
-    left = stored(left.drop("component").join(shared, "node").where(f"100 * s >= {threshold} * n"), "left")
+    left = stored(left.drop("component").join(sizes, "node").join(shared, "node").where(f"100 * s >= {threshold} * n"), "left")
     while True:
         left = stored(mixed_buckets(left, parts), "left")
         if left.isEmpty():

@@ -41,9 +41,9 @@ def test_join_of_changed_texts(spark):
 
 
 def test_join_with_deletion_neighbourhoods(spark, monkeypatch):
-    def every_second(crowds, classes, starts, segments):
-        pairs = [(band, 2 * k, 2 * k + 1) for band, n in enumerate(segments) for k in range(n // 2)]
-        return spark.createDataFrame(pairs, "band int, left_out int, raised int")
+    def every_second(crowds, classes, segments):
+        pairs = [(band * ngram_join.BAND_STEP + 2 * k, band * ngram_join.BAND_STEP + 2 * k + 1) for band, n in enumerate(segments[:60]) for k in range(n // 2)]
+        return spark.createDataFrame(pairs, "left_out long, raised long")
 
     monkeypatch.setattr(ngram_join, "allocation", every_second)
     rows = changed_texts()
@@ -53,15 +53,15 @@ def test_join_with_deletion_neighbourhoods(spark, monkeypatch):
 
 
 def test_allocation_pays_for_itself(spark):
-    classes = spark.createDataFrame([(20,)] * 50, "n long")
     starts = ngram_join.band_starts(20, 90)
     segments = ngram_join.segments_of_bands(starts, 90)
-    band = int(np.searchsorted(starts, 20, side="right")) - 1
-    crowds = spark.createDataFrame([(band, 0, 40)] + [(band, 1, 2)], "band int, segment int, f long")
-    (row,) = ngram_join.allocation(crowds, classes, starts, segments).collect()
-    assert (row.band, row.left_out) == (band, 0) and row.raised != 0
-    few = spark.createDataFrame([(band, 0, 3)], "band int, segment int, f long")
-    assert ngram_join.allocation(few, classes, starts, segments).count() == 0
+    band = ngram_join.bands_of(20, starts)[0]
+    at = band * ngram_join.BAND_STEP
+    classes = spark.createDataFrame([(20, band)] * 50, "n long, band int")
+    (row,) = ngram_join.allocation(spark.createDataFrame([(at, 40), (at + 1, 2)], "place long, f long"), classes, segments).collect()
+    assert row.left_out == at and at < row.raised < at + segments[band]
+    few = spark.createDataFrame([(at, 3)], "place long, f long")
+    assert ngram_join.allocation(few, classes, segments).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [50, 80, 90, 97])
