@@ -32,7 +32,9 @@ from docketframe.llm.minmax import MEMBERS_PER_CHUNK, confirmed, full_sets, mixe
 from docketframe.llm.shared import stored
 from docketframe.llm.words import mix
 
-LEADERS_PER_ROUND = 64
+# Leaders of each digest in the first round, and in the last ones; a round has four times as many as the one before.
+FIRST_LEADERS = 4
+MOST_LEADERS = 256
 SALT = 0x1F83D9ABFB41BD6B
 LARGEST_SET = 2**31
 # A digest's place is its band times this, plus its segment.
@@ -188,14 +190,21 @@ def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members")
 
 
-def next_leaders(left: DataFrame) -> DataFrame:
-    """Up to ``LEADERS_PER_ROUND`` rows of each digest, from its smallest components; a digest of any size is ranked in parts first."""
+def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs ``leader, node`` of two components."""
+    named = pairs.select("leader", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    named = named.join(parts.withColumnRenamed("node", "leader"), "leader", "left")
+    return named.where(F.col("part") != F.coalesce("component", "leader")).select("leader", "node")
+
+
+def next_leaders(left: DataFrame, number: int) -> DataFrame:
+    """Up to ``number`` rows of each digest, from its smallest components; a digest of any size is ranked in parts first."""
     sizes = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
     parts = sizes.groupBy("key").agg((F.expr(f"sum(rows) div {MEMBERS_PER_CHUNK}") + 1).alias("parts"))
     rows = left.join(sizes, ["key", "component"]).join(parts, "key").withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
     order = [F.col("rows"), F.col("component"), F.col("node")]
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).where(F.col("rank") <= LEADERS_PER_ROUND)
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= LEADERS_PER_ROUND)
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).where(F.col("rank") <= number)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
     return best.select("key", "node", "n", "s", "component", "rank")
 
 
@@ -242,17 +251,23 @@ def links_of_classes(docs: DataFrame, classes: DataFrame, size: int, threshold:
     pairs = pairs.join(sizes, "node").join(sizes.withColumnsRenamed({"node": "leader", "n": "leader_n"}), "leader")
     pairs = stored(similar_sizes(pairs, threshold), "pairs")
     sets = stored(sets_of(docs, classes.join(members.select("node").distinct(), "node"), size), "sets")
-    links = stored(confirmed(pairs, sets, threshold), "links")
+    # First each class with one leader only: near copies, which have many leaders in common, then are one component.
+    links = stored(confirmed(pairs.groupBy("node").agg(F.min("leader").alias("leader")), sets, threshold), "links")
+    parts = stored(connected_components(links), "components")
+    apart = stored(across(pairs, parts), "apart")
+    links = links.union(stored(confirmed(apart, sets, threshold), "links"))
     parts = stored(connected_components(links), "components")
 
     left = mixed_buckets(members.where("leader <> node").select("key", "node"), parts)
     shared = shareable(sets.join(left.select("node").distinct(), "node"))
     left = stored(left.drop("component").join(sizes, "node").join(shared, "node").where(f"100 * s >= {threshold} * n"), "left")
+    number = FIRST_LEADERS
     while True:
         left = stored(mixed_buckets(left, parts), "left")
         if left.isEmpty():
             return parts
-        leaders = stored(next_leaders(left), "leaders")
+        leaders = stored(next_leaders(left, number), "leaders")
+        number = min(4 * number, MOST_LEADERS)
         new = stored(confirmed(pairs_of_round(left, leaders, threshold), sets, threshold), "links")
         if not new.isEmpty():
             links = links.union(new)
