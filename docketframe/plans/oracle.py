@@ -7,7 +7,6 @@ Dialect notes: its regexes know no lookaround, ``cast(double AS int)`` rounds,
 from __future__ import annotations
 
 from docketframe.functions.cases import HEADING_MARKER_PATTERN
-from docketframe.functions.html import NAMED_REFERENCES, TAG_RULES
 from docketframe.functions.legislation import LINK_PATTERN, STATUTE_NAMES
 from docketframe.functions.sentences import (
     CONDITION_PATTERN,
@@ -266,12 +265,20 @@ HEADER_TEXT = (
 )
 
 
+# Its own rules, for the markup that the pages table has; none of them is the library's.
+PAGE_STEPS = [
+    ("(?s)<!--.*?-->", ""), ("(?s)<head>.*?</head>", ""), ("(?s)<script>.*?</script>", ""), ("(?s)<style>.*?</style>", ""),
+    (r"\s+", " "), ('<a href="([^"]*)">(.*?)</a>', r"[\2](\1)"), ("</?b>", "**"), ("</li>|</?(?:html|body)(?: [^>]*)?>|<!DOCTYPE [^>]*>", ""),
+    (" ?<li> ?", "\n  * "), (" ?<h1> ?", "\n\n# "), (" ?<br> ?", "  \n"), (r' ?</?(?:ul|nav|p|div|article|footer|h1)(?: class="\w+")?> ?', "\n\n"),
+    ("\n\n\n+", "\n\n"),
+]
+
+
 def _markdown() -> str:
     x = "html"
-    for pattern, replacement in TAG_RULES:
-        new = replacement.replace("$1", "\\1").replace("$2", "\\2")
+    for pattern, new in PAGE_STEPS:
         x = f"regexp_replace({x}, {text(pattern)}, {text(new)}, 'g')"
-    for name, character in NAMED_REFERENCES.items():
+    for name, character in (("&copy;", "(C)"), ("&middot;", "*"), ("&quot;", '"'), ("&amp;", "&")):
         x = f"replace({x}, {text(name)}, {text(character)})"
     return strip(x)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,46 @@ def test_heading_opens_the_first_paragraph(spark):
 )
 def test_html(spark, html, markdown):
     assert run(spark, markdown_of, [html]) == [markdown]
+
+
+PAGES = [
+    ("<table><tr><td>a</td><td>b</td></tr><tr><td>c<td>d</table>", "a| b\nc| d"),
+    ("<table><tr><th class='h'>x</th> <th>y</th></tr></table>t", "x| y\n\nt"),
+    ("<dl><dt>t<dd>d<dt>u</dt> <dd>e</dd></dl>after", "t\n    d\nu\n    e\n\nafter"),
+    ("<ol><li>a</li><li>b</li></ol>c", "1. a\n  2. b\n\nc"),
+    ("<ol start='7'><li>a<li>b</ol>", "7. a\n  8. b"),
+    ("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>", "* a\n    1. b\n    2. c\n  * d"),
+    ("<ol><li>a<ul><li>b</ul><li>c</ol>", "1. a\n    * b\n  2. c"),
+    ("a</ul></ol><li>b", "a\n  * b"),
+    ("a<hr>b<HR />c", "a\n\n* * *\n\nb\n\n* * *\n\nc"),
+    ("<blockquote><p>a</p><p>b</p></blockquote>c", "> a\n> \n> b\n\nc"),
+    ("x<blockquote>never closed", "x\n\n> never closed"),
+    ("<pre>\nif a:\n  b &lt; c\n</pre>d  e", "if a:\n      b < c\n\nd e"),
+    ("caf&eacute; &sect; 7 &frac12; &Alpha; &nbsp;x&mdash;y &ldquo;q&rdquo; &copy;", "café § 7 ½ Α  x--y \"q\" (C)"),
+    ("a < b and c > d &lt;i&gt; <i>e</i>", "a < b and c > d <i> _e_"),
+    ("<a href='/x'>one <a href=\"/y\">two</a> <a name=z>three</a>", "one [two](/y) three"),
+    ("<p>before<!-- never closed <b>x</b>", "before"),
+    ("a<script>if (x</b>", "a"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("html, markdown", PAGES)
+def test_page_elements(spark, html, markdown):
+    assert run(spark, markdown_of, [html]) == [markdown]
+
+
+def test_hostile_pages_take_linear_time(spark):
+    parts = ["<!--", "<a href='x'>", "<", "<li>", "<blockquote>", "<pre>", "<head", "&", "<td", "<ol><li>", "<script", "&#"]
+    for part in parts:
+        seconds = []
+        for n in (500, 10_000):
+            begin = time.perf_counter()
+            run(spark, markdown_of, [part * n])
+            seconds.append(time.perf_counter() - begin)
+        assert seconds[1] < 8 + 4 * seconds[0], part
+
+
+def test_pages_are_converted_once(spark):
+    plan = d.pages_to_markdown(spark.createDataFrame([(1, "x")], "i int, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("blockquote") == 2 and plan.count("<!--") == 1 and plan.count("strong") == 1
