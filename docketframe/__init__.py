@@ -8,6 +8,7 @@ from docketframe.operators.cases import (
     split_cases,
 )
 from docketframe.operators.citations import (
+    citation_edges,
     citation_metadata,
     join_metadata,
     latest_answers,
@@ -23,6 +24,7 @@ from docketframe.operators.legislation import (
     legislation_links,
     legislation_lists,
     ordered_legislation,
+    statute_edges,
 )
 from docketframe.operators.offences import code_table, first_per_section, resolve_offences
 from docketframe.operators.reports import build_reports, related_lists

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketframe.functions.citations import citation_key, decision_code, formatted_citation, item_citation
+from docketframe.functions.citations import citation_key, decision_code, formatted_citation, item_citation, text_field
 from docketframe.functions.text import evaluate_once
 from docketframe.operators.joins import join_unique
 
@@ -158,6 +158,24 @@ def related_cases(answers: DataFrame, metadata: DataFrame, *keys: str) -> DataFr
     return join_metadata(related_items(answers, *keys), metadata, F.col("citation"))
 
 
+def citation_edges(responses: DataFrame, order: str = "request_id") -> DataFrame:
+    """The citation graph of the landed answers, each edge once: ``citing, cited, told_by_citing, told_by_cited``.
+
+    "A cites B" among the cited cases of A and "B is cited by A" among the citing cases of B are one edge, and the flags say
+    who told of it. A related case is known by its citation, else by its case id; one with a title only is no decision. An
+    edge to itself is left out. Edges are reduced in each task before their shuffle, so a decision of any number of them is
+    spread over the graph.
+    """
+    answers = relation_items(latest_answers(responses, order))
+    named = F.transform("items", lambda item: citation_key(F.coalesce(*(text_field(item, k) for k in ("citation", "caseId", "case_id")))))
+    pairs = answers.where(F.col("caseref_type").isin(RELATION_TYPES[:2])).select("decision", (F.col("caseref_type") == RELATION_TYPES[0]).alias("cites"), F.explode(named).alias("other"))
+    edges = pairs.select(
+        F.when(F.col("cites"), F.col("decision")).otherwise(F.col("other")).alias("citing"),
+        F.when(F.col("cites"), F.col("other")).otherwise(F.col("decision")).alias("cited"), "cites",
+    ).where(F.col("citing") != F.col("cited"))
+    return edges.groupBy("citing", "cited").agg(F.bool_or("cites").alias("told_by_citing"), F.bool_or(~F.col("cites")).alias("told_by_cited"))
+
+
 def latest_answers(responses: DataFrame, order: str = "request_id") -> DataFrame:
     """One answer per decision and relation type: ``decision, caseref_type, status, body``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketframe.functions.citations import citation_key
 from docketframe.functions.legislation import legislation_entries, statute_name, statute_section, statute_urls
 
 
@@ -48,3 +49,13 @@ def ordered_legislation(cases: DataFrame, key: str = "doc_id", paragraphs: str =
 def cited_legislation(cases: DataFrame, key: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
     """``key, name, section, para_nos``: ``ordered_legislation`` without the rank."""
     return ordered_legislation(cases, key, paragraphs).drop("rank")
+
+
+def statute_edges(cases: DataFrame, citation: str = "citation", paragraphs: str = "paragraphs") -> DataFrame:
+    """Decisions and the sections they cite, each edge once: ``citing, name, section, n_paragraphs``.
+
+    Cases without a citation have no place in the graph; several texts of one decision add their paragraphs up.
+    """
+    named = cases.select(citation_key(F.col(citation)).alias("citing"), paragraphs).where(F.col("citing").isNotNull())
+    found = cited_legislation(named, "citing", paragraphs)
+    return found.groupBy("citing", "name", "section").agg(F.sum(F.size("para_nos")).alias("n_paragraphs"))

@@ -512,5 +512,22 @@ UNION ALL SELECT case_key, NULL, NULL, NULL, 'Could not parse citation: ' || raw
         ),
         "related_citation": with_(*RELATED[:-3], select="SELECT request_id, pos, citation FROM related"),
         "related_cases": with_(*RELATED, select="SELECT request_id, pos, citation, metadata_citation, case_id FROM related_known"),
+        "citation_edges": with_(
+            *ITEMS, LATEST, *LINKS,
+            (
+                "told",
+                f"""SELECT replace(lower(case_id), '-', '') AS decision, caseref_type, {decision_in('coalesce(citation, caseId)')} AS other
+FROM item_texts WHERE request_id IN (SELECT request_id FROM latest) AND caseref_type IN ('citedCases', 'citingCases') AND coalesce(citation, caseId) IS NOT NULL""",
+            ),
+            (
+                "both_ways",
+                """SELECT decision AS citing, other AS name, 'citing' AS teller FROM told WHERE caseref_type = 'citedCases'
+UNION ALL SELECT other, decision, 'cited' FROM told WHERE caseref_type = 'citingCases'""",
+            ),
+            select=f"""SELECT 'case' AS kind, citing, name, NULL AS section, max(teller) = 'citing' AS told_by_citing, min(teller) = 'cited' AS told_by_cited,
+  CAST(NULL AS BIGINT) AS n_paragraphs FROM both_ways WHERE citing <> name GROUP BY citing, name
+UNION ALL SELECT 'statute', {decision_in('c.citation')} AS citing, name, section, NULL, NULL, CAST(sum(len(paras)) AS BIGINT)
+FROM grouped JOIN cases c USING (doc_id) WHERE c.citation <> '' GROUP BY ALL""",
+        ),
         "case_report": _reports(),
     }

@@ -360,6 +360,13 @@ def related_cases(spark, sf):
     )
 
 
+@query
+def citation_edges(spark, sf):
+    cases = df_.citation_edges(fx.relation_responses(spark, sf)).withColumnRenamed("cited", "name")
+    statutes = df_.statute_edges(df_.parse_cases(fx.case_markdown(spark, sf)))
+    return cases.withColumn("kind", F.lit("case")).unionByName(statutes.withColumn("kind", F.lit("statute")), allowMissingColumns=True)
+
+
 @query
 def case_report(spark, sf):
     reports = df_.build_reports(

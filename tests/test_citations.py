@@ -184,3 +184,24 @@ def test_case_texts(spark, graph):
     shown = {r.doc_id: r for r in d.case_texts(cases, metadata, include_header=True).collect()}
     assert shown[1].header == "h1" and shown[1].metadata.case_id == "2024-ABCJ-1" and shown[2].metadata is None
     assert {r.header for r in d.case_texts(cases, metadata).collect()} == {None}
+
+
+def test_mirrored_edges_are_one(spark):
+    body = {
+        "2024abcj1": ("citedCases", '{"citedCases":[{"citation":"R v B, 2024 ABCJ 2 (CanLII)"},{"caseId":"2024-ABCJ-3"},{"title":"R v Nobody"},{"citation":"2024 ABCJ 1"}]}'),
+        "2024-ABCJ-2": ("citingCases", '{"citingCases":[{"citation":"2024 ABCJ 1"},{"case_id":"2024abcj9"},{"citation":"2024 ABCJ 1 (CanLII)"}]}'),
+        "2024abcj4": ("citedLegislations", '{"citedLegislations":[{"citation":"2024 ABCJ 1"}]}'),
+    }
+    rows = [(i, case, kind, 200, text) for i, (case, (kind, text)) in enumerate(body.items())]
+    rows += [(9, "2024abcj5", "citedCases", 500, None), (10, None, "citedCases", 200, '{"citedCases":[{"citation":"2024 ABCJ 1"}]}')]
+    frame = spark.createDataFrame(rows, "request_id int, case_id string, caseref_type string, status int, body string")
+    got = {tuple(r) for r in d.citation_edges(frame).collect()}
+    assert got == {("2024abcj1", "2024abcj2", True, True), ("2024abcj1", "2024abcj3", True, False), ("2024abcj9", "2024abcj2", False, True)}
+    assert d.citation_edges(frame.where("false")).count() == 0
+
+
+def test_statute_edges_add_up(spark):
+    link = "[s](/en/ca/laws/stat/rsc-1985-c-c-46/latest/rsc-1985-c-c-46.html#sec7)"
+    rows = spark.createDataFrame([("2024 ABCJ 1", [link, "x", link]), ("R v A, 2024 ABCJ 1", [link]), ("", [link]), (None, [link]), ("2024 ABCJ 2", None)], "citation string, paragraphs array<string>")
+    (edge,) = d.statute_edges(rows).collect()
+    assert (edge.citing, edge.section, edge.n_paragraphs) == ("2024abcj1", "sec7", 3)
