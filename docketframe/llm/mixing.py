@@ -71,13 +71,16 @@ def repetitions(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int =
     docs = docs.drop(*added)
     sized = docs.withColumn("size", word_count(F.col("text")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = stored(source_targets(totals, weights), "targets").withColumnRenamed("source", "_source")
+    named = "_source"
+    while named in docs.columns:
+        named = "_" + named
+    table = stored(source_targets(totals, weights), "targets").withColumnRenamed("source", named)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEATS)))).otherwise(F.lit(0.0))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     whole = F.floor("rate")
     copies = whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)
-    joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(table, F.col("source").eqNullSafe(F.col(named))).drop(named)
     return joined.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
 
 

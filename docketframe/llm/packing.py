@@ -78,7 +78,10 @@ def pack(docs: DataFrame, lengths: Column, n_buckets: int = 16, batch_tokens: in
     empty one.
     """
     added = ["n_tokens", "bucket", "bucket_bound", "batch_id", "slot", "padding"]
-    sized = docs.withColumn("_length", F.coalesce(lengths, F.lit(0)).cast("long")).drop(*added).withColumnRenamed("_length", "n_tokens")
+    # The caller's row travels as one column, so that none of its names can meet those of this function.
+    key = F.xxhash64(*(F.col(f"`{name}`") for name in ("doc_id", "text") if name in docs.columns))
+    whole = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    sized = docs.select(whole, F.coalesce(lengths, F.lit(0)).cast("long").alias("n_tokens"), key.alias("key"))
     bounds = length_buckets(sized.select("n_tokens"), n_buckets)
     place = F.lit(None).cast("int")
     bound = F.lit(None).cast("long")
@@ -90,14 +93,13 @@ def pack(docs: DataFrame, lengths: Column, n_buckets: int = 16, batch_tokens: in
     shards = F.lit(1)
     for i, n in counts.items():
         shards = F.when(F.col("bucket") == i, n // ROWS_PER_SHARD + 1).otherwise(shards)
-    key = F.xxhash64(*(F.col(name) for name in ("doc_id", "text") if name in docs.columns))
-    sharded = placed.withColumn("_key", key).withColumn("_shard", F.pmod(F.xxhash64("_key", F.lit(1)), shards))
-    order = Window.partitionBy("bucket", "_shard").orderBy("_key", "n_tokens")
+    sharded = placed.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), shards))
+    order = Window.partitionBy("bucket", "shard").orderBy("key", "n_tokens")
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest("bucket_bound", F.lit(1))))
     nth = F.row_number().over(order) - 1
-    numbered = sharded.withColumn("_nth", nth).withColumn("_batch", F.floor(F.col("_nth") / per_batch))
+    numbered = sharded.withColumn("nth", nth).withColumn("batch", F.floor(F.col("nth") / per_batch))
     return numbered.select(
-        *[c for c in docs.columns if c not in added], "n_tokens", "bucket", "bucket_bound",
-        F.concat_ws("-", "bucket", "_shard", "_batch").alias("batch_id"), (F.col("_nth") - F.col("_batch") * per_batch).cast("long").alias("slot"),
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in added], "n_tokens", "bucket", "bucket_bound",
+        F.concat_ws("-", "bucket", "shard", "batch").alias("batch_id"), (F.col("nth") - F.col("batch") * per_batch).cast("long").alias("slot"),
         (F.col("bucket_bound") - F.col("n_tokens")).alias("padding"),
     )

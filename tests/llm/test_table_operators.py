@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import connect, multiset
-from docketframe.llm import components, exact_dedup, language, minmax, mixing, oracle, queries
+from docketframe.llm import components, exact_dedup, language, minmax, mixing, oracle, packing, queries
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -190,3 +190,14 @@ def test_pipeline(spark, sf_dir):
     assert all(r.n_tokens == len(WORDS.findall(r.text)) and r.padding >= 0 for r in docs["packing"])
     assert corpus_pipeline.run(spark, sf_dir).count() == len(docs["packing"])
     assert language.UNKNOWN == "und"
+
+
+def test_names_of_the_caller_stay(spark):
+    names = ["_source", "_key", "_shard", "_nth", "_batch", "_length", "key", "row", "shard", "nth", "batch"]
+    rows = [(i, "w " * (i % 7), "s" if i % 2 else None, *range(i, i + len(names))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    packed = packing.pack(docs, mixing.word_count(F.col("text")), n_buckets=3)
+    assert packed.columns[: len(docs.columns)] == docs.columns
+    assert sorted(tuple(r)[: len(docs.columns)] for r in packed.collect()) == sorted(rows)
+    found = mixing.repetitions(docs)
+    assert sorted(map(tuple, found.select(*docs.columns).collect())) == sorted(rows)
