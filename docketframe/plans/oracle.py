@@ -6,18 +6,29 @@ Dialect notes: its regexes know no lookaround, ``cast(double AS int)`` rounds,
 
 from __future__ import annotations
 
-from docketframe.functions.cases import HEADING_MARKER_PATTERN
-from docketframe.functions.legislation import LINK_PATTERN, STATUTE_NAMES
-from docketframe.functions.sentences import (
-    CONDITION_PATTERN,
-    DURATION_PATTERN,
-    NUMBER_PATTERN,
-    SENTENCE_COLUMNS,
-)
-from docketframe.functions.text import WHITESPACE, WS
 from docketframe.plans import fixtures as fx
 from docketframe.plans.queries import CASE, ROW_INDEX
-from docketframe.sources.csv import NA_TOKENS
+
+# Fixed values, written out again: a wrong one in the library does not go unnoticed here.
+SENTENCE_COLUMNS = ["uid", "offence", "date", "jail", "mode", "conditions", "fine", "appeal"]
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+WHITESPACE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+WS = f"[{WHITESPACE}]"
+DURATION_PATTERN = rf"([0-9]+(?:\.[0-9]+)?){WS}*([ymdYMD])"
+CONDITION_PATTERN = rf"(?i)^{WS}*([0-9]+(?:\.[0-9]+)?){WS}*(y|m|d){WS}*-(parole|ircs|ltso|discharge|probation){WS}*$"
+NUMBER_PATTERN = r"^[-+]?([0-9](_?[0-9])*(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)([eE][-+]?[0-9](_?[0-9])*)?$"
+HEADING_MARKER_PATTERN = rf"[*]{{2}}{WS}*_{WS}*_{WS}*[*]{{2}}"
+LINK_PATTERN = r"\[([^\]]+)\]\(([^)]+)\)"
+STATUTE_NAMES = {
+    "/en/ca/laws/stat/rsc-1985-c-c-46/latest/rsc-1985-c-c-46.html": "Criminal Code",
+    "/en/ca/laws/stat/sc-1996-c-19/latest/sc-1996-c-19.html": "Controlled Drugs and Substances Act",
+    "/en/ca/laws/stat/schedule-b-to-the-canada-act-1982-uk-1982-c-11/latest/schedule-b-to-the-canada-act-1982-uk-1982-c-11.html": "Charter",
+    "/en/ca/laws/stat/rsc-1985-c-c-47/latest/rsc-1985-c-c-47.html": "Criminal Records Act",
+    "/en/ca/laws/stat/sc-2001-c-27/latest/sc-2001-c-27.html": "Immigration and Refugee Protection Act",
+}
 
 NL = "chr(10)"
 KEYS = "l_orderkey, l_linenumber"
