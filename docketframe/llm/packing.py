@@ -11,60 +11,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EXACT_BELOW = 2048
-STEPS_PER_DOUBLING = 512
 ROWS_PER_SHARD = 20_000
 
 
-def length_bin(length: Column) -> Column:
-    """A number that grows with the length: every length below 2048 has its own, then each doubling has 512 of them."""
-    doubling = F.length(F.bin(length)) - 12
-    step = F.floor(length / F.pow(F.lit(2.0), doubling + 11 - 9)) - STEPS_PER_DOUBLING
-    return F.when(length < EXACT_BELOW, length).otherwise(EXACT_BELOW + doubling * STEPS_PER_DOUBLING + step).cast("long")
+def next_layer(cost: np.ndarray, longest: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j lengths with one more bucket, for every j, and where that bucket begins.
+
+    The best beginning never moves back as j grows, so the middle of two solved places is searched between their beginnings
+    only: one pass over the lengths for each halving of the stride, instead of all pairs.
+    """
+    m = len(longest)
+    new, choice = np.full(m + 1, np.inf, dtype=cost.dtype), np.zeros(m + 1, dtype=np.int64)
+    stride = 1 << max(m, 1).bit_length()
+    while stride:
+        j = np.arange(stride, m + 1, 2 * stride)
+        above = np.minimum(j + stride, m + 1)
+        low, high = choice[j - stride], np.where(above <= m, choice[np.minimum(above, m)], m)
+        sizes = np.minimum(high, j - 1) - low + 1
+        begins = np.cumsum(sizes) - sizes
+        i = np.arange(int(sizes.sum())) - np.repeat(begins - low, sizes)
+        owner = np.repeat(j, sizes)
+        padded = cost[i] + longest[owner - 1] * (n[owner] - n[i]) - (s[owner] - s[i])
+        if len(j):
+            new[j] = np.minimum.reduceat(padded, begins)
+            hits = np.flatnonzero(padded == np.repeat(new[j], sizes))
+            choice[j] = i[hits[np.searchsorted(hits, begins)]]
+        stride //= 2
+    return new, choice
 
 
-def best_bounds(longest: np.ndarray, number: np.ndarray, total: np.ndarray, n_buckets: int) -> list[int]:
-    """Bucket bounds, ascending, that leave the least padding for bins in ascending order.
+def best_bounds(lengths: np.ndarray, number: np.ndarray, n_buckets: int) -> list[int]:
+    """Bucket bounds, ascending, that leave the least padding for distinct ``lengths``, ascending, of ``number`` documents each.
 
-    ``longest`` is the longest length in each bin, ``number`` its documents, ``total`` the sum of their lengths. With equal
-    padding fewer buckets win, then lower bounds.
+    With equal padding fewer buckets win, then lower bounds. Sums are held in extended floats, which are exact to 2^64.
     """
-    m = len(longest)
+    m = len(lengths)
     if not m:
         return []
+    longest, number = lengths.astype(np.longdouble), number.astype(np.longdouble)
     n = np.concatenate(([0], np.cumsum(number)))
-    s = np.concatenate(([0], np.cumsum(total)))
-    cost = np.full(m + 1, np.iinfo(np.int64).max // 4, dtype=np.int64)
+    s = np.concatenate(([0], np.cumsum(number * longest)))
+    cost = np.full(m + 1, np.inf, dtype=np.longdouble)
     cost[0] = 0
     choices, best, best_size = [], None, 0
     for size in range(1, min(n_buckets, m) + 1):
-        new, choice = np.full_like(cost, np.iinfo(np.int64).max // 4), np.zeros(m + 1, dtype=np.int64)
-        for j in range(1, m + 1):
-            padded = cost[:j] + longest[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
-            choice[j] = np.argmin(padded)
-            new[j] = padded[choice[j]]
+        cost, choice = next_layer(cost, longest, n, s)
         choices.append(choice)
-        cost = new
         if best is None or cost[m] < best:
             best, best_size = cost[m], size
     bounds, j = [], m
     for choice in reversed(choices[:best_size]):
-        bounds.append(int(longest[j - 1]))
+        bounds.append(int(lengths[j - 1]))
         j = choice[j]
     return bounds[::-1]
 
 
 def length_buckets(lengths: DataFrame, n_buckets: int) -> list[int]:
-    """The best bounds for the column ``n_tokens``.
+    """The best bounds for the column ``n_tokens``, over the exact histogram of all lengths.
 
-    The histogram has at most 2048 bins and 512 more for each doubling of the longest length (13,312 up to lengths of
-    2^33), so what reaches the driver does not grow with the number of documents.
+    The histogram has a row for each distinct length. D of them add up to at least D * (D - 1) / 2 tokens, so D is at most about the root of
+    twice the tokens: 15,000 for 10^8 tokens and 6.3 million, 100 MB on the driver, for 2 * 10^13.
     """
-    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
-        F.max("n_tokens").alias("longest"), F.count("*").alias("number"), F.sum("n_tokens").alias("total")
-    )
-    rows = bins.orderBy("bin").collect()
-    return best_bounds(*(np.array([row[name] for row in rows], dtype=np.int64) for name in ("longest", "number", "total")), n_buckets)
+    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("number")).toArrow().sort_by("n_tokens")
+    return best_bounds(rows["n_tokens"].to_numpy(), rows["number"].to_numpy(), n_buckets)
 
 
 def pack(docs: DataFrame, lengths: Column, n_buckets: int = 16, batch_tokens: int = 32_768) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -235,10 +236,32 @@ def test_word_counts(spark):
     assert {r.id: r.n for r in rows} == {i: len(WORDS.findall(t or "")) for i, t in enumerate(odd)}
 
 
-def test_length_bins_follow_lengths(spark):
-    rows = spark.range(1, 300_000).select("id", packing.length_bin(F.col("id")).alias("bin"))
-    assert rows.groupBy("bin").agg((F.max("id") / F.min("id")).alias("r"), F.min("bin")).where("r > 1.003").count() == 0
-    assert rows.agg(F.count_distinct("bin"), F.max("bin")).first()[0] <= 2048 + 512 * 8
+def test_bounds_are_the_best_ones_for_any_length():
+    rng = random.Random(7)
+    for _ in range(150):
+        top = rng.choice([3, 30, 3_000, 10**6])
+        lengths = [rng.randint(0, top) for _ in range(rng.randint(1, 9))] * rng.choice([1, 2])
+        number = Counter(lengths)
+        values = np.array(sorted(number))
+        for n in (1, 2, 3, 5):
+            bounds = packing.best_bounds(values, np.array([number[x] for x in values.tolist()]), n)
+            assert len(bounds) <= n and bounds == sorted(bounds)
+            assert sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, n)
+    assert packing.best_bounds(np.array([5000, 5001, 5002, 5003, 9000, 9001, 12000]), np.ones(7, int), 7) == [5000, 5001, 5002, 5003, 9000, 9001, 12000]
+    assert packing.best_bounds(np.zeros(0, int), np.zeros(0, int), 3) == []
+
+
+def test_bounds_of_many_lengths_match_the_search_over_all_pairs():
+    rng = np.random.default_rng(3)
+    for top in (400, 10**6):
+        values, number = np.unique(rng.integers(0, top, 300), return_counts=True)
+        n, s = np.concatenate(([0], np.cumsum(number))), np.concatenate(([0], np.cumsum(number * values)))
+        cost = np.full(len(values) + 1, np.inf)
+        cost[0] = 0
+        for _ in range(6):
+            cost = np.array([np.inf] + [min(cost[i] + values[j - 1] * (n[j] - n[i]) - (s[j] - s[i]) for i in range(j)) for j in range(1, len(values) + 1)])
+        bounds = np.array(packing.best_bounds(values, number, 6))
+        assert (number * (bounds[np.searchsorted(bounds, values)] - values)).sum() == cost[-1]
 
 
 @pytest.mark.parametrize("name", ["op1_packing", "op5_language", "op6_token_counts", "op7_url_filter", "op9_personal_data", "op10_repetition"])
