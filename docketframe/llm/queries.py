@@ -56,10 +56,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(documents(spark, sf_dir))
     number = {kind: F.expr(f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS LONG)") for kind in pii.KINDS}
     base = F.expr("array_join(transform(base, x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
-    rank = "array_position(array('email', 'ip', 'card', 'phone'), x.kind)"
+    rank = "array_position(array('email', 'ip', 'card', 'phone', 'secret'), x.kind)"
     ordered = f"array_sort(transform(concat(base, added), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', x.kind)))"
     spans = F.expr(f"array_join(transform({ordered}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
-    return found.select("doc_id", *(number[kind].alias(f"n_{kind}") for kind in pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *(number[kind].alias(f"n_{kind}") for kind in pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.expr("CAST(size(base) + size(added) AS LONG)").alias("n_spans"))
 
 
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
