@@ -8,11 +8,13 @@ from docketframe.operators.cases import (
     split_cases,
 )
 from docketframe.operators.citations import (
+    citation_aliases,
     citation_edges,
     citation_metadata,
     join_metadata,
     latest_answers,
     related_cases,
+    related_cases_by_name,
     related_items,
     relation_counts,
     relation_edges,

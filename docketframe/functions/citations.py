@@ -32,6 +32,11 @@ def citation_key(citation: Column) -> Column:
     return decision_code(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def title_key(title: Column) -> Column:
+    """Key of a case title: lower case, one space for each run of white space; it never equals a citation's key, which has none."""
+    return F.concat(F.lit("title: "), F.lower(F.regexp_replace(text_or_null(title), "\\s+", " ")))
+
+
 def text_field(item: Column, key: str) -> Column:
     """A JSON field of a relation item, kept only when it is a non-blank string."""
     value = F.try_variant_get(item, f"$.{key}", "variant")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketframe.functions.citations import citation_key, decision_code, formatted_citation, item_citation, text_field
+from docketframe.functions.citations import citation_key, decision_code, formatted_citation, item_citation, text_field, title_key
 from docketframe.functions.text import evaluate_once
 from docketframe.operators.joins import join_unique
 
@@ -158,6 +158,45 @@ def related_cases(answers: DataFrame, metadata: DataFrame, *keys: str) -> DataFr
     return join_metadata(related_items(answers, *keys), metadata, F.col("citation"))
 
 
+def citation_aliases(metadata: DataFrame) -> DataFrame:
+    """Every name of a decision that no other decision has: ``alias, decision``, one row per alias.
+
+    Names are the decision key itself, the keys of its atomic and reporter citations, and its title. A decision key goes
+    before a citation of the same spelling. A name that two decisions share is left out. One aggregation, reduced in each task.
+    """
+    keyed = keyed_metadata(metadata)
+    name = lambda rank, alias: F.struct(F.lit(rank).alias("rank"), alias.alias("alias"))
+    names = F.array(
+        name(0, F.col("decision")), name(1, citation_key(F.col("metadata.atomic_citation"))),
+        name(1, citation_key(F.col("metadata.official_reporter_citation"))), name(1, title_key(F.col("metadata.style_of_cause"))),
+    )
+    rows = keyed.select("decision", F.inline(names)).where(F.col("alias").isNotNull())
+    first, last = F.min(F.struct("rank", "decision")), F.max(F.struct(-F.col("rank"), F.col("decision").alias("decision")))
+    ends = rows.groupBy("alias").agg(first["decision"].alias("decision"), last["decision"].alias("other"))
+    return ends.where(F.col("decision") == F.col("other")).drop("other")
+
+
+def related_cases_by_name(answers: DataFrame, metadata: DataFrame, *keys: str) -> DataFrame:
+    """Related cases with metadata, whatever they are named by: ``keys, pos, citation, metadata``; unknown and ambiguous ones go.
+
+    An item is looked up by its citation, else its case id; where that names no decision, by its title. Items meet the
+    aliases twice and the metadata once, each time on a side with one row per key; a much-cited decision is split by
+    adaptive execution, and items without a name of the kind asked for are dealt out.
+    """
+    named = F.transform("items", lambda item, pos: F.struct(
+        pos.alias("pos"), item_citation(item).alias("citation"),
+        citation_key(F.coalesce(*(text_field(item, k) for k in ("citation", "caseId", "case_id")))).alias("__name"),
+        title_key(text_field(item, "title")).alias("__title"),
+    ))
+    items = answers.select(*keys, F.inline(F.filter(named, lambda x: x["citation"].isNotNull())))
+    aliases = citation_aliases(metadata)
+    cited = join_unique(items, aliases.select(F.col("alias").alias("__name"), F.col("decision").alias("__cited")), "__name", "left")
+    cited = cited.withColumn("__title", F.when(F.col("__cited").isNull(), F.col("__title")))
+    titled = join_unique(cited, aliases.select(F.col("alias").alias("__title"), F.col("decision").alias("__titled")), "__title", "left")
+    found = titled.withColumn("decision", F.coalesce("__cited", "__titled")).where(F.col("decision").isNotNull())
+    return join_unique(found, keyed_metadata(metadata), "decision").select(*keys, "pos", "citation", "metadata")
+
+
 def citation_edges(responses: DataFrame, order: str = "request_id") -> DataFrame:
     """The citation graph of the landed answers, each edge once: ``citing, cited, told_by_citing, told_by_cited``.
 

@@ -205,3 +205,29 @@ def test_statute_edges_add_up(spark):
     rows = spark.createDataFrame([("2024 ABCJ 1", [link, "x", link]), ("R v A, 2024 ABCJ 1", [link]), ("", [link]), (None, [link]), ("2024 ABCJ 2", None)], "citation string, paragraphs array<string>")
     (edge,) = d.statute_edges(rows).collect()
     assert (edge.citing, edge.section, edge.n_paragraphs) == ("2024abcj1", "sec7", 3)
+
+
+def test_related_cases_by_name(spark):
+    citations = spark.createDataFrame(
+        [
+            ("2024-ABCJ-1", "R v A", "2024 ABCJ 1", "[2024] 1 SCR 10", "raw"), ("2024-ABCJ-2", "R v  B", "2024 ABCJ 2", None, "raw"),
+            ("2023-ABCJ-3", "R v Twin", "2023 ABCJ 3", "[2023] 2 SCR 5", "raw"), ("2023-ABCJ-4", "R v Twin", "2023 ABCJ 4", "[2023] 2 SCR 5", "raw"),
+            ("2024-ABCJ-1", "R v A", "2024 ABCJ 1", "[2024] 1 SCR 10", "again"),
+        ],
+        "uid string, style_of_cause string, atomic_citation string, official_reporter_citation string, raw_citation string",
+    )
+    items = """{"citedCases": [
+      {"title": "Other name", "citation": "2024 ABCJ 1 (CanLII)"}, {"caseId": "2024abcj2"}, {"title": "r V b"}, {"title": "R v Twin"},
+      {"title": "R v Nobody"}, {"citation": "[2024] 1 SCR 10"}, {"citation": "[2023] 2 SCR 5"}, {"title": "R v A", "citation": "1900 XX 1"}, {"case_id": "2023-abcj-4", "title": "R v A"}, {"x": 1}]}"""
+    answers = spark.createDataFrame([(n, "c", "citedCases", 200, items) for n in (1, 1, 2)], "request_id int, case_id string, caseref_type string, status int, body string")
+    rows = d.related_cases_by_name(d.relation_items(answers), d.citation_metadata(citations), "request_id").collect()
+    one = {0: "2024-ABCJ-1", 1: "2024-ABCJ-2", 2: "2024-ABCJ-2", 5: "2024-ABCJ-1", 7: "2024-ABCJ-1", 8: "2023-ABCJ-4"}
+    assert sorted((r.request_id, r.pos, r.metadata.case_id) for r in rows) == sorted((n, pos, uid) for n in (1, 1, 2) for pos, uid in one.items())
+    none = d.related_cases_by_name(d.relation_items(answers), d.citation_metadata(citations).where("false"), "request_id")
+    assert none.count() == 0
+
+
+def test_aliases_name_one_decision(spark):
+    rows = [("2024-A-1", "T", "2024 B 2", None), ("2024-B-2", "t ", None, "2024 A 1"), ("2024-C-3", "  ", "", "9 R 9")]
+    metadata = d.citation_metadata(spark.createDataFrame(rows, "uid string, style_of_cause string, atomic_citation string, official_reporter_citation string").withColumn("raw_citation", F.lit("x")))
+    assert {r.alias: r.decision for r in d.citation_aliases(metadata).collect()} == {"2024a1": "2024a1", "2024b2": "2024b2", "2024c3": "2024c3", "9r9": "2024c3"}
