@@ -112,6 +112,15 @@ FROM (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'citingCases' WHEN
         ELSE 'citedLegislations' END AS caseref_type FROM events) e
 """
 
+# Related cases named by title, by a citation that nobody has beside a title, and by case id.
+NAMED_RESPONSES = """
+SELECT event_id AS request_id, concat('2024abcj', cast(user_id AS string)) AS case_id, 'citedCases' AS caseref_type, 200 AS status,
+  concat('{"citedCases":[{"title":"r V  C', cast(user_id AS string), '"},',
+    '{"title":"R v C', cast(user_id AS string), '","citation":"1900 XX ', cast(event_id AS string), '"},',
+    '{"title":"R v C1","caseId":"2024-abcj-', cast(event_id AS string), '"}]}') AS body
+FROM events
+"""
+
 _SOURCES = {
     "lineitem": SENTENCES,
     "part": OFFENCES,
@@ -147,5 +156,10 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "orders")
 
 
+def named_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(NAMED_RESPONSES)
+
+
 def relation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "events")

@@ -381,6 +381,27 @@ RELATED = [
         f"SELECT r.*, m.citation AS metadata_citation, m.case_id FROM related r JOIN metadata m ON m.decision = {decision_in('r.citation')}",
     ),
 ]
+# The items are written out instead of read from JSON.
+NAMED = [
+    CITE,
+    META,
+    (
+        "aliases",
+        f"""SELECT alias, min(decision) AS decision FROM (
+  SELECT alias, rank, decision, min(rank) OVER (PARTITION BY alias) AS best FROM (
+    SELECT decision AS alias, 0 AS rank, decision FROM metadata
+    UNION ALL SELECT {decision_in('atomic_citation')}, 1, m.decision FROM fx_citations c JOIN metadata m ON m.decision = {decision_in(f'coalesce(nullif(c.uid, {text("")}), c.atomic_citation)')}
+    UNION ALL SELECT 'title: ' || lower(c.style_of_cause), 1, m.decision FROM fx_citations c
+      JOIN metadata m ON m.decision = {decision_in(f'coalesce(nullif(c.uid, {text("")}), c.atomic_citation)')} WHERE c.style_of_cause <> '') x
+  WHERE alias IS NOT NULL) y WHERE rank = best GROUP BY alias HAVING count(DISTINCT decision) = 1""",
+    ),
+    (
+        "named",
+        """SELECT event_id AS request_id, 1 AS pos, 'r V  C' || user_id AS citation, NULL AS name, 'title: r v c' || user_id AS title FROM events
+UNION ALL SELECT event_id, 2, 'R v C' || user_id || ', 1900 XX ' || event_id, '1900xx' || event_id, 'title: r v c' || user_id FROM events
+UNION ALL SELECT event_id, 3, '2024-abcj-' || event_id, '2024abcj' || event_id, 'title: r v c1' FROM events""",
+    ),
+]
 LATEST = (
     "latest",
     "SELECT arg_max(request_id, CASE WHEN status = 200 THEN 1000000000000 ELSE 0 END + request_id) AS request_id"
@@ -523,6 +544,11 @@ UNION ALL SELECT case_key, NULL, NULL, NULL, 'Could not parse citation: ' || raw
         ),
         "related_citation": with_(*RELATED[:-3], select="SELECT request_id, pos, citation FROM related"),
         "related_cases": with_(*RELATED, select="SELECT request_id, pos, citation, metadata_citation, case_id FROM related_known"),
+        "related_cases_by_name": with_(
+            *NAMED,
+            select="""SELECT n.request_id, CAST(n.pos AS BIGINT) AS pos, n.citation, m.citation AS metadata_citation, m.case_id
+FROM named n LEFT JOIN aliases a ON a.alias = n.name LEFT JOIN aliases t ON t.alias = n.title JOIN metadata m ON m.decision = coalesce(a.decision, t.decision)""",
+        ),
         "citation_edges": with_(
             *ITEMS, LATEST, *LINKS,
             (

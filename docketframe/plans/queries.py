@@ -360,6 +360,16 @@ def related_cases(spark, sf):
     )
 
 
+@query
+def related_cases_by_name(spark, sf):
+    answers = df_.relation_items(fx.named_responses(spark, sf))
+    related = df_.related_cases_by_name(answers, df_.citation_metadata(fx.citations(spark, sf)), "request_id")
+    return related.select(
+        "request_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "citation",
+        F.col("metadata.citation").alias("metadata_citation"), F.col("metadata.case_id").alias("case_id"),
+    )
+
+
 @query
 def citation_edges(spark, sf):
     cases = df_.citation_edges(fx.relation_responses(spark, sf)).withColumnRenamed("cited", "name")
