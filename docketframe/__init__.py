@@ -44,7 +44,7 @@ from docketframe.operators.sentences import (
 )
 from docketframe.operators.tables import append_tables
 from docketframe.session import build_session
-from docketframe.sources.csv import append_files, na_to_null, read_offences, read_sentences, read_table, write_table
+from docketframe.sources.csv import append_files, header_catalogue, na_to_null, read_offences, read_sentences, read_table, write_table
 from docketframe.sources.html import read_pages
 from docketframe.sources.reports import read_reports, report_legislation, write_reports
 

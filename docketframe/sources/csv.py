@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketframe.functions.sentences import SENTENCE_COLUMNS
 from docketframe.functions.text import strip
+from docketframe.operators.joins import BROADCAST_LIMIT, ROW_OVERHEAD
 from docketframe.operators.tables import append_tables
 
 # Cell texts read as a missing value.
@@ -45,16 +50,32 @@ def _fields(line: Column) -> Column:
     return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
 
 
+def header_catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header`` of every file under the paths, in one job: the first line that is not blank.
+
+    The lines are read once, unparsed, and reduced to one per file before the
+    shuffle. A file without text has no row.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+    )
+    first = F.min_by("value", F.struct("block", "row")).alias("header")
+    return lines.where(strip(F.col("value")) != "").groupBy("file").agg(first)
+
+
 def read_table(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     columns: list[str] | None = None,
     with_order: bool = False,
     multi_line: bool = False,
     file_number: int = 0,
     strict_quotes: bool = True,
 ) -> DataFrame:
-    """One CSV file, or a directory of files with the same header, all text.
+    """CSV files, or directories of them, with the same header, all text.
 
     A file whose header differs from the first one's is an error. Rows with too many fields are skipped, rows with too few are filled with
     NULL, blank lines are skipped. Column names come from the header unless
@@ -84,7 +105,7 @@ def read_table(
             "ord",
             F.struct(
                 F.lit(file_number).alias("file"),
-                F.col("_metadata.file_name").alias("name"),
+                F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
             ),
@@ -114,17 +135,63 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def _places(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Every file under the paths, with the place of the first path that leads to it. Files are listed, not read."""
+    places: dict[str, int] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for number, files in enumerate(pool.map(lambda path: spark.read.text(path).inputFiles(), paths)):
+            for file in files:
+                # A row tells its local file with one slash.
+                places.setdefault(re.sub("^file:/+", "file:/", file), number)
+    return places
+
+
+def _numbered(spark: SparkSession, table: DataFrame, places: dict[str, int]) -> DataFrame:
+    """``ord.file`` filled in: the place in the list of paths that a row's file has."""
+    numbers = sorted(set(places.values()))
+    if len(numbers) == 1:
+        return table.withColumn("ord", F.col("ord").withField("file", F.lit(numbers[0])))
+    lookup = spark.createDataFrame(list(places.items()), "_path string, _place int")
+    if sum(len(file.encode()) + ROW_OVERHEAD for file in places) <= BROADCAST_LIMIT:
+        lookup = F.broadcast(lookup)
+    found = table.join(lookup, F.col("ord.path") == F.col("_path"))
+    return found.withColumn("ord", F.col("ord").withField("file", F.col("_place"))).drop("_path", "_place")
+
+
 def append_files(
     spark: SparkSession, paths: list[str], with_order: bool = False, multi_line: bool = False
 ) -> DataFrame:
-    """Rows of several tables one after the other, columns matched by name."""
-    return append_tables(
-        [
-            na_to_null(table, [c for c in table.columns if c != "ord"])
-            for number, path in enumerate(paths)
-            for table in [read_table(spark, path, with_order=with_order, multi_line=multi_line, file_number=number)]
-        ]
-    )
+    """Rows of several tables, columns matched by name, absent ones NULL.
+
+    The headers of all files are read in one job, and files with the same
+    header in one scan: as many scans as there are headers, however many files.
+    Files of a directory may differ in their headers. A header whose quotes go
+    over its line is read with its own file. Columns come in the order in which
+    the files bring them; the order of rows is in ``ord`` alone. A file that
+    several paths lead to is read once; files without text give no column and
+    no row.
+    """
+    if not paths:
+        raise ValueError("no tables to append")
+    places = _places(spark, paths)
+    headers = {}
+    if len(places) > 1:
+        headers = {row.file: row.header for row in header_catalogue(spark, paths).collect()}
+    groups: dict[str, list[str]] = {}
+    for file in sorted(headers, key=lambda f: (places[f], f)):
+        header = headers[file]
+        groups.setdefault(header if header.count('"') % 2 == 0 else file, []).append(file)
+    tables = []
+    for files in groups.values() or [list(places)]:
+        listed = [unquote(file) for file in files]
+        columns = _reader(spark, multi_line).csv(listed[0]).columns
+        if not columns:
+            continue
+        table = read_table(spark, listed, columns, with_order, multi_line)
+        if with_order:
+            table = _numbered(spark, table, {file: places[file] for file in files})
+        tables.append(na_to_null(table, columns))
+    return append_tables(tables) if tables else spark.createDataFrame([], "struct<>")
 
 
 def read_sentences(spark: SparkSession, *paths: str, with_order: bool = False, multi_line: bool = False) -> DataFrame:
@@ -137,4 +204,4 @@ def read_offences(spark: SparkSession, *paths: str, multi_line: bool = False) ->
     return append_files(spark, list(paths), with_order=True, multi_line=multi_line)
 
 
-__all__ = ["NA_TOKENS", "SENTENCE_COLUMNS", "append_files", "na_to_null", "read_offences", "read_sentences", "read_table", "write_table"]
+__all__ = ["NA_TOKENS", "SENTENCE_COLUMNS", "append_files", "header_catalogue", "na_to_null", "read_offences", "read_sentences", "read_table", "write_table"]

@@ -66,6 +66,25 @@ def test_append_files(spark, tmp_path):
         d.append_files(spark, [])
 
 
+def test_one_scan_per_header(spark, tmp_path):
+    headers = ["uid,jail", "fine,uid", '"uid",mode']
+    paths = [write(tmp_path / f"t {i:02d}%é.csv", f"\n{headers[i % 3]}\n{i},x{i}\n") for i in range(30)]
+    paths.append(write(tmp_path / "empty.csv", ""))
+    paths.append(write(tmp_path / "long.csv", 'uid,"two\nlines"\n30,z\n'))
+    rows = d.append_files(spark, paths, with_order=True, multi_line=True)
+    assert rows.columns == ["uid", "jail", "ord", "fine", "mode", "two\nlines"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 4
+    wanted = [(i, *[str(i) if i % 3 != 1 else f"x{i}", f"x{i}" if i % 3 == 0 else None, str(i) if i % 3 == 1 else None]) for i in range(30)]
+    got = sorted((r.ord.file, r.uid, r.jail, r.fine) for r in rows.collect())
+    assert got == [*wanted, (31, "30", None, None)]
+    # A directory is matched by column name as well, and its files share one place.
+    whole = d.append_files(spark, [str(tmp_path), paths[0]], with_order=True, multi_line=True)
+    assert sorted(whole.select("uid", "jail", "fine").collect(), key=str) == sorted(rows.select("uid", "jail", "fine").collect(), key=str)
+    assert {r.ord.file for r in whole.collect()} == {0}
+    assert d.append_files(spark, [paths[-2]]).count() == 0
+
+
 def test_file_order(spark, tmp_path):
     lines = "\n".join(f"cc_{i % 50},name {i}" for i in range(20_000))
     path = write(tmp_path / "o.csv", f"section,offence_name\n{lines}\n")
