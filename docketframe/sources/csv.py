@@ -13,6 +13,7 @@ from docketframe.functions.sentences import SENTENCE_COLUMNS
 from docketframe.functions.text import strip
 from docketframe.operators.joins import BROADCAST_LIMIT, ROW_OVERHEAD
 from docketframe.operators.tables import append_tables
+from docketframe.sources.quoted import split_records, without_headers
 
 # Cell texts read as a missing value.
 NA_TOKENS = [
@@ -71,7 +72,7 @@ def read_table(
     path: str | list[str],
     columns: list[str] | None = None,
     with_order: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
     file_number: int = 0,
     strict_quotes: bool = True,
 ) -> DataFrame:
@@ -82,12 +83,15 @@ def read_table(
     given. ``with_order`` adds ``ord``, the position of the row: a comparable
     struct that needs no sort and no shuffle to make.
 
-    Files are split, so a line break inside quotes needs ``multi_line`` (one
-    task per file). Meeting one without it is an error, or with
+    Files are split, so a line break inside quotes needs ``multi_line``: ``True``
+    reads a file in one task, ``"split"`` in as many as it has splits, for one
+    shuffle of its lines (``split_records``). Meeting one without it is an error, or with
     ``strict_quotes=False`` that line is skipped. A line that has too many
     fields even before its open quote is skipped like other broken rows.
     """
-    columns = columns or _reader(spark, multi_line).csv(path).columns
+    columns = columns or _reader(spark, bool(multi_line)).csv(path).columns
+    if multi_line == "split":
+        return _read_split(spark, path, columns, with_order, file_number)
     schema = ", ".join(f"`{c}` string" for c in [*columns, RAW])
     lines = (
         _reader(spark, multi_line)
@@ -121,6 +125,15 @@ def read_table(
     return lines.where(keep).drop(RAW)
 
 
+def _read_split(spark: SparkSession, path: str | list[str], columns: list[str], with_order: bool, file_number: int) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in [*columns, RAW])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": "false"}
+    records = without_headers(split_records(spark, path)).where(_fields(F.col("record")) <= len(columns))
+    place = F.struct(F.lit(file_number).alias("file"), F.col("file").alias("path"), "block", F.col("nth").alias("row"))
+    parsed = records.select(F.from_csv("record", schema, options).alias("cells"), place.alias("ord"))
+    return parsed.select(*[F.col(f"cells.`{c}`") for c in columns], *(["ord"] if with_order else []))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; NULL and empty cells are both written empty."""
     (
@@ -159,7 +172,7 @@ def _numbered(spark: SparkSession, table: DataFrame, places: dict[str, int]) ->
 
 
 def append_files(
-    spark: SparkSession, paths: list[str], with_order: bool = False, multi_line: bool = False
+    spark: SparkSession, paths: list[str], with_order: bool = False, multi_line: bool | str = False
 ) -> DataFrame:
     """Rows of several tables, columns matched by name, absent ones NULL.
 
@@ -184,7 +197,7 @@ def append_files(
     tables = []
     for files in groups.values() or [list(places)]:
         listed = [unquote(file) for file in files]
-        columns = _reader(spark, multi_line).csv(listed[0]).columns
+        columns = _reader(spark, bool(multi_line)).csv(listed[0]).columns
         if not columns:
             continue
         table = read_table(spark, listed, columns, with_order, multi_line)
@@ -194,12 +207,12 @@ def append_files(
     return append_tables(tables) if tables else spark.createDataFrame([], "struct<>")
 
 
-def read_sentences(spark: SparkSession, *paths: str, with_order: bool = False, multi_line: bool = False) -> DataFrame:
+def read_sentences(spark: SparkSession, *paths: str, with_order: bool = False, multi_line: bool | str = False) -> DataFrame:
     """A sentence table; ``ord`` on request for access by position."""
     return append_files(spark, list(paths), with_order, multi_line)
 
 
-def read_offences(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
+def read_offences(spark: SparkSession, *paths: str, multi_line: bool | str = False) -> DataFrame:
     """The offence table with ``ord``, so that the first of repeated sections can be told."""
     return append_files(spark, list(paths), with_order=True, multi_line=multi_line)
 

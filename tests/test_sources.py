@@ -1,4 +1,6 @@
 import json
+import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,43 @@ def test_line_break_in_quotes(spark, tmp_path):
         d.read_table(spark, path).collect()
 
 
+def open_at_end(text):
+    state = "start"
+    for c in text:
+        if state in ("start", "closing") and c == '"':
+            state = "quoted"
+        elif state == "quoted":
+            state = "closing" if c == '"' else "quoted"
+        else:
+            state = "start" if c in ",\n" else "bare"
+    return state == "quoted"
+
+
+def test_split_files_with_line_breaks_in_quotes(spark, tmp_path):
+    rng, pieces = random.Random(5), ['"', '""', ",", "\n", "a", "é", " ", "b\n", '"x\ny"', '"p,q"', "1,2,3\n"]
+    sizes = [1, 2, 3, 5, 7, 11, 10_000]
+    try:
+        for n, size in enumerate(sizes):
+            texts = ["a,b,c\n" + "".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(12)]
+            for i, text in enumerate(texts):
+                text = text.rstrip("\n") + '"' * open_at_end(text.rstrip("\n")) + "\n"
+                (tmp_path / f"{n}_{i}.csv").write_bytes(text.replace("\n", "\r\n" if i % 4 == 3 else "\n").encode())
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            path = str(tmp_path / f"{n}_*.csv")
+            split = d.read_table(spark, path, columns=["a", "b", "c"], multi_line="split", with_order=True)
+            whole = d.read_table(spark, path, columns=["a", "b", "c"], multi_line=True, with_order=True)
+            by_file = {}
+            for frame in (split, whole):
+                for row in sorted(frame.collect(), key=lambda r: (r.ord.path, r.ord.block, r.ord.row)):
+                    by_file.setdefault(row.ord.path, {}).setdefault(frame is split, []).append((row.a, row.b, row.c))
+            for file, found in by_file.items():
+                assert found.get(True) == found.get(False), (size, open(unquote(file.removeprefix("file:")), encoding="utf-8", newline="").read())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_stray_quote_in_a_wide_line(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'a,b,c\n1,2,3\n1,2,3,4"\n7,8,9\n')
     assert cells(d.read_table(spark, path)) == [("1", "2", "3"), ("7", "8", "9")]
