@@ -47,6 +47,6 @@ from docketframe.session import build_session
 from docketframe.sources.csv import append_files, header_catalogue, na_to_null, read_offences, read_sentences, read_table, write_table
 from docketframe.sources.html import read_pages
 from docketframe.sources.reports import read_reports, report_legislation, write_reports
-from docketframe.sources.store import chosen_pages, read_keyed, store_reports, stored_reports, write_keyed, write_pages
+from docketframe.sources.store import chosen_pages, new_store, read_keyed, store_reports, stored_reports, write_keyed, write_pages
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -8,6 +8,7 @@ whole texts and grow with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketframe.session import tune
 
@@ -152,6 +153,18 @@ def case_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "documents")
 
 
+def case_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of ``case_markdown`` as HTML: links as anchors, marks and white space as references, a head with a script."""
+    text = F.col("markdown")
+    for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(reference))
+    text = F.regexp_replace(text, r"\[([^\[\]]*)\]\(([^()]*)\)", '<a href="$2">$1</a>')
+    text = F.replace(F.replace(text, F.lit("\n"), F.lit("&#10;")), F.lit("  "), F.lit(" &#32;"))
+    head = '<html><head><title>Decision</title><script>var a = "<p>";</script></head><body><div>'
+    html = F.concat(F.lit(head), text, F.lit("</div></body></html>"))
+    return case_markdown(spark, sf_dir).select("doc_id", html.alias("html"))
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "orders")
 

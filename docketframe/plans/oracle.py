@@ -567,4 +567,7 @@ UNION ALL SELECT 'statute', {decision_in('c.citation')} AS citing, name, section
 FROM grouped JOIN cases c USING (doc_id) WHERE c.citation <> '' GROUP BY ALL""",
         ),
         "case_report": _reports(),
+        # The page a report comes from, as HTML or stored, makes no difference to it.
+        "page_report": _reports(),
+        "chosen_case_report": f"SELECT * FROM ({_reports()}) r WHERE doc_id BETWEEN 1 AND 59",
     }

@@ -22,6 +22,7 @@ SENTENCE_KEYS = ["l_orderkey", "l_linenumber"]
 SEP = " | "
 CASE = "2024ord77"
 ROW_INDEX = 1234
+CHOSEN = [f"R v D{n}, 2024 ABCJ {n}" for n in range(1, 60)]
 
 
 def query(fn: Query) -> Query:
@@ -377,15 +378,10 @@ def citation_edges(spark, sf):
     return cases.withColumn("kind", F.lit("case")).unionByName(statutes.withColumn("kind", F.lit("statute")), allowMissingColumns=True)
 
 
-@query
-def case_report(spark, sf):
-    reports = df_.build_reports(
-        df_.parse_cases(fx.case_markdown(spark, sf)),
-        df_.citation_metadata(fx.citations(spark, sf)),
-        fx.relation_responses(spark, sf),
-    )
+def report_rows(spark: SparkSession, sf: str, cases: DataFrame) -> DataFrame:
+    reports = df_.build_reports(cases, df_.citation_metadata(fx.citations(spark, sf)), fx.relation_responses(spark, sf))
 
-    def cases(column: str) -> Column:
+    def related(column: str) -> Column:
         return joined(f"references.{column}", lambda e: F.concat(e["citation"], F.lit("="), e["metadata"]["case_id"]))
 
     legislation = joined(
@@ -397,10 +393,27 @@ def case_report(spark, sf):
     )
     return reports.select(
         "doc_id", "case_id", "citation", F.col("metadata.citation").alias("metadata_citation"),
-        cases("cited_cases_metadata").alias("cited"), cases("citing_cases_metadata").alias("citing"),
+        related("cited_cases_metadata").alias("cited"), related("citing_cases_metadata").alias("citing"),
         legislation.alias("legislation"), "header", joined("body_paragraphs").alias("body"),
     )
 
 
+@query
+def case_report(spark, sf):
+    return report_rows(spark, sf, df_.parse_cases(fx.case_markdown(spark, sf)))
+
+
+@query
+def page_report(spark, sf):
+    return report_rows(spark, sf, df_.parse_cases(df_.pages_to_markdown(fx.case_html(spark, sf))))
+
+
+@query
+def chosen_case_report(spark, sf):
+    store = df_.new_store(spark, "pages")
+    df_.write_pages(fx.case_markdown(spark, sf), store)
+    return report_rows(spark, sf, df_.parse_cases(df_.chosen_pages(spark, store, CHOSEN)))
+
+
 for _name in [n for n in QUERIES if n.endswith("_")]:
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,16 @@ from docketframe.operators.reports import named_case
 ROW_GROUP = 8 * 1024 * 1024
 
 
+def new_store(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share; a local session without one gets a temporary folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='docketframe-')}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_keyed(df: DataFrame, path: str, key: str, mode: str = "errorifexists", row_group: int = ROW_GROUP) -> None:
     """Parquet in ``path/rows``, in ranges of ``key``, and ``path/manifest``: ``key, file, first_row, n_rows``.
 
