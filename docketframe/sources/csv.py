@@ -13,7 +13,7 @@ from docketframe.functions.sentences import SENTENCE_COLUMNS
 from docketframe.functions.text import strip
 from docketframe.operators.joins import BROADCAST_LIMIT, ROW_OVERHEAD
 from docketframe.operators.tables import append_tables
-from docketframe.sources.quoted import split_records, without_headers
+from docketframe.sources.quoted import split_records
 
 # Cell texts read as a missing value.
 NA_TOKENS = [
@@ -128,7 +128,7 @@ def read_table(
 def _read_split(spark: SparkSession, path: str | list[str], columns: list[str], with_order: bool, file_number: int) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in [*columns, RAW])
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": "false"}
-    records = without_headers(split_records(spark, path)).where(_fields(F.col("record")) <= len(columns))
+    records = split_records(spark, path).where(_fields(F.col("record")) <= len(columns))
     place = F.struct(F.lit(file_number).alias("file"), F.col("file").alias("path"), "block", F.col("nth").alias("row"))
     parsed = records.select(F.from_csv("record", schema, options).alias("cells"), place.alias("ord"))
     return parsed.select(*[F.col(f"cells.`{c}`") for c in columns], *(["ord"] if with_order else []))

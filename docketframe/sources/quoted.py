@@ -27,7 +27,8 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         line.alias("line"),
     )
-    return lines.withColumn("closed_to", ends_open(F.col("line"))).withColumn("open_to", ends_open(F.col("line"), True))
+    states = {"closed_to": ends_open(F.col("line")), "open_to": ends_open(F.col("line"), True)}
+    return lines.withColumns({**states, "blank": strip(F.col("line")) == ""})
 
 
 def _running(lines: DataFrame) -> DataFrame:
@@ -39,16 +40,18 @@ def _running(lines: DataFrame) -> DataFrame:
     setter = F.last(F.when(same, F.struct(F.col("closed_to").alias("state"), "turns")), ignorenulls=True).over(order)
     flips = F.col("turns") - F.coalesce("setter.turns", F.lit(0))
     return turned.withColumn("setter", setter).select(
-        "file", "block", "row", *(["line"] if "line" in lines.columns else []), F.col("setter.state").alias("known"), (flips % 2 == 1).alias("flips")
+        "file", "block", "row", "blank", *(["line"] if "line" in lines.columns else []), F.col("setter.state").alias("known"), (flips % 2 == 1).alias("flips")
     )
 
 
 def _starts(running: DataFrame) -> DataFrame:
-    """``file, block, begins_open``: the state in which every split starts.
+    """``file, block, begins_open, head_row``: the state in which every split starts, and the row of the file's header if it is there.
 
     A split is one row here, so a file's chain of splits is short.
     """
-    ends = running.groupBy("file", "block").agg(F.max_by(F.struct("known", "flips"), "row").alias("end"))
+    ends = running.groupBy("file", "block").agg(
+        F.max_by(F.struct("known", "flips"), "row").alias("end"), F.min(F.when(~F.col("blank"), F.col("row"))).alias("first")
+    )
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     turns = F.sum(F.col("end.flips").cast("long"))
     upto = ends.withColumn("before", F.coalesce(turns.over(order), F.lit(0)))
@@ -56,11 +59,13 @@ def _starts(running: DataFrame) -> DataFrame:
     setter = F.struct((F.col("end.known") != F.col("end.flips")).alias("state"), (F.col("before") + F.col("end.flips").cast("long")).alias("turns"))
     known = F.last(F.when(F.col("end.known").isNotNull(), setter), ignorenulls=True).over(order)
     state = F.coalesce("known.state", F.lit(False)) != ((F.col("before") - F.coalesce("known.turns", F.lit(0))) % 2 == 1)
-    return upto.withColumn("known", known).select("file", "block", state.alias("begins_open"))
+    head = F.min(F.when(F.col("first").isNotNull(), F.col("block"))).over(Window.partitionBy("file"))
+    head_row = F.when(F.col("block") == F.col("head"), F.col("first")).alias("head_row")
+    return upto.withColumn("known", known).withColumn("head", head).select("file", "block", state.alias("begins_open"), head_row)
 
 
 def split_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, block, nth, record``: the records of CSV files whose quotes go over lines, headers included.
+    """``file, block, nth, record``: the records of CSV files whose quotes go over lines, but for the first of each file, its header.
 
     Files are split as other texts are. What a line does to open quotes depends
     on the state before it alone, so splits are first read for their state
@@ -81,20 +86,15 @@ def split_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     pieces = rows.withColumn("nth", nth).groupBy("file", "block", "nth").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda p: p["line"]), "\n").alias("record"),
         F.max_by("after", "row").alias("left_open"),
+        F.coalesce(F.max(F.col("row") == F.col("head_row")), F.lit(False)).alias("header"),
     )
-    whole = pieces.where((F.col("nth") > 0) & ~F.col("left_open")).select("file", "block", "nth", "record")
+    whole = pieces.where((F.col("nth") > 0) & ~F.col("left_open")).select("file", "block", "nth", "record", "header")
     # Pieces at borders: the last start before a piece without one is its own.
     borders = pieces.where((F.col("nth") == 0) | F.col("left_open"))
     order = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("nth") > 0, F.struct(F.col("block").alias("from"), "nth")), ignorenulls=True).over(order)
     joined = borders.withColumn("owner", owner).groupBy("file", F.col("owner.from").alias("block"), F.col("owner.nth").alias("nth")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("block").alias("at"), "record"))), lambda p: p["record"]), "\n").alias("record")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("block").alias("at"), "record"))), lambda p: p["record"]), "\n").alias("record"),
+        F.max("header").alias("header"),
     )
-    return whole.unionByName(joined).where(strip(F.col("record")) != "")
-
-
-def without_headers(records: DataFrame) -> DataFrame:
-    """All records but the first of every file."""
-    place = F.struct("block", "nth")
-    first = records.groupBy("file").agg(F.min(place).alias("head"))
-    return records.join(first, "file").where(place > F.col("head")).drop("head")
+    return whole.unionByName(joined).where(~F.col("header") & (strip(F.col("record")) != "")).drop("header")
