@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from docketframe.llm.shared import stored
 from docketframe.llm.words import BYTE_CODES, MULTIPLIER, mix, raw, text_slices
 
 # Rules as (host and path, verdict).
@@ -29,6 +31,10 @@ RULES = (
 UNWANTED = ("adult", "casino", "pills", "spam", "bets", "ads-track")
 MAX_ORDER = 5
 ALPHABET = 256
+# Counts of each order are added up in tables of this many places, whatever the number of URLs.
+TABLE_BITS = 18
+# Scores are dealt into bins of this width, so that no sort takes them all; a score is at most log 256 (5.5) and a little.
+BINS_PER_UNIT = 256
 
 
 def url_host(url: Column) -> Column:
@@ -88,26 +94,28 @@ def context_codes(texts: pa.Array, orders: int = MAX_ORDER) -> tuple[np.ndarray,
 
 @dataclass(frozen=True)
 class MarkovModel:
-    """Per order: sorted gram hashes with their counts, and sorted context hashes with their counts and distinct followers."""
+    """Per order, by the last bits of their hashes: how often each gram and each context occurs, and the context's distinct followers."""
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    grams: np.ndarray
+    contexts: np.ndarray
+    followers: np.ndarray
 
     def log_probabilities(self, contexts: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Witten-Bell smoothing: each order that knows the context is mixed with the next lower one."""
         p = np.full(contexts.shape[1], 1 / ALPHABET)
-        for k, (names, counts) in enumerate(self.grams):
-            own, totals, followers = self.contexts[k]
-            if not len(own):
-                break
-            at = np.minimum(np.searchsorted(own, contexts[k]), len(own) - 1)
-            known = own[at] == contexts[k]
-            place = np.minimum(np.searchsorted(names, grams[k]), len(names) - 1)
-            seen = np.where(names[place] == grams[k], counts[place], 0)
-            p = np.where(known, (seen + followers[at] * p) / np.where(known, totals[at] + followers[at], 1), p)
+        for k in range(len(self.grams)):
+            at = place(contexts[k])
+            totals, followers = self.contexts[k][at].astype(np.float64), self.followers[k][at].astype(np.float64)
+            # Grams that share a place may be more than their context.
+            seen = np.minimum(self.grams[k][place(grams[k])], totals)
+            p = np.where(totals > 0, (seen + followers * p) / np.where(totals > 0, totals + followers, 1), p)
         return np.log(p)
 
 
+def place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class UrlModel:
     accepted: MarkovModel
@@ -143,54 +151,77 @@ def gram_counts(urls: DataFrame) -> DataFrame:
     return rows.groupBy("label", "k", "context", "gram").agg(F.sum("n").alias("n"))
 
 
-def markov_model(k: np.ndarray, context: np.ndarray, gram: np.ndarray, n: np.ndarray) -> MarkovModel:
-    grams, contexts = [], []
-    for order in range(MAX_ORDER + 1):
-        own = k == order
-        names, counts = gram[own].view(np.uint64), n[own]
-        by_name = np.argsort(names)
-        grams.append((names[by_name], counts[by_name].astype(np.float64)))
-        groups, place, followers = np.unique(context[own].view(np.uint64), return_inverse=True, return_counts=True)
-        contexts.append((groups, np.bincount(place, weights=counts, minlength=len(groups)), followers.astype(np.float64)))
-    return MarkovModel(grams, contexts)
-
-
-def train_url_model(labelled: DataFrame, max_urls: int = 20_000) -> UrlModel:
-    """Models of ``label`` (allow or block) from ``url, label``, with a calibrated threshold.
-
-    Repeated rows count once. About ``max_urls`` distinct URLs of each label are read, chosen by a hash of the URL, and at
-    least one; with the longest order they bound the tables that come to the driver. A fifth of them is kept from
-    training, never the only one of a label; among these the threshold leaves the fewest errors, each label counting the
-    same. It is 0 if the fifth lacks a label. Only a table without URLs of both labels lets everything pass.
+def markov_models(counts: DataFrame) -> dict[str, MarkovModel]:
+    """A model of each label from all its ``gram_counts``; the tables' size bounds what comes to the driver."""
+    at = lambda name: F.col(name).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int").alias("at")
+    grams = counts.groupBy("label", "k", at("gram")).agg(F.sum("n").alias("n"))
+    contexts = counts.groupBy("label", "k", at("context")).agg(F.sum("n").alias("n"), F.count("*").alias("followers"))
+    found = {}
+    for label in ("allow", "block"):
+        filled = []
+        for rows, name in ((grams, "n"), (contexts, "n"), (contexts, "followers")):
+            table = np.zeros((MAX_ORDER + 1, 1 << TABLE_BITS), dtype=np.float32)
+            own = rows.where(F.col("label") == label).select("k", "at", name).toArrow()
+            table[own.column("k").to_numpy(), own.column("at").to_numpy()] = own.column(name).to_numpy()
+            filled.append(table)
+        found[label] = MarkovModel(*filled)
+    return found
+
+
+def best_threshold(scores: DataFrame) -> float:
+    """The cut of ``label, score`` that leaves the fewest errors, each label counting the same; 0 if one is missing.
+
+    Rejected URLs from the cut on and accepted ones below it are errors. Equal scores are added up and dealt into bins of a
+    fixed width; sums of the bins, at most some thousands, lead on to running sums inside each.
+    """
+    block = F.count_if(F.col("label") == "block").alias("block")
+    counted = stored(scores.groupBy("score").agg(block, (F.count("*") - block).alias("allow")).withColumn("bin", F.floor(F.col("score") * BINS_PER_UNIT)), "scores")
+    before, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bins = counted.groupBy("bin").agg(F.sum("block").alias("b"), F.sum("allow").alias("a")).select(
+        "bin", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_below") for x in "ba"), *(F.sum(x).over(whole).alias(f"{x}_all") for x in "ba")
+    )
+    inside = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = {x: F.col(f"{x[0]}_below") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in ("block", "allow")}
+    wrong = (F.col("b_all") - below["block"]) / F.col("b_all") + below["allow"] / F.col("a_all")
+    cuts = counted.join(F.broadcast(bins), "bin").where("b_all > 0 AND a_all > 0").select("score", wrong.alias("wrong"))
+    best = cuts.agg(F.min(F.struct("wrong", "score")).alias("best")).first()["best"]
+    if best is None:
+        return 0.0
+    lower = counted.where(F.col("score") < F.lit(best["score"])).agg(F.max("score")).first()[0]
+    return (best["score"] + (best["score"] - 1 if lower is None else lower)) / 2
+
+
+def train_url_model(labelled: DataFrame, max_urls: int | None = None) -> UrlModel:
+    """Models of ``label`` (allow or block) from all rows of ``url, label``, with a calibrated threshold.
+
+    Repeated rows count once. A fifth of the URLs, by a hash, is kept from training, never the only one of a label; among these the
+    threshold leaves the fewest errors, each label counting the same. It is 0 if the fifth lacks a label. Only a table without
+    URLs of both labels lets everything pass. The models are tables of a fixed size, to which tasks add; ``max_urls`` makes do with
+    about as many distinct URLs of each label, chosen by a hash of the URL, and at least one.
     """
     known = labelled.where("url IS NOT NULL AND label IN ('allow', 'block')").select("label", "url", F.pmod(F.xxhash64("url"), F.lit(1 << 30)).alias("_h"))
-    sizes = known.distinct().groupBy("label").agg(F.count("*").alias("n"), F.min("_h").alias("least")).collect()
+    known = stored(known.distinct(), "labelled")
+    sizes = known.groupBy("label").agg(F.count("*").alias("n"), F.min("_h").alias("least")).collect()
     below, least = F.lit(0), F.lit(-1)
     for row in sizes:
-        own = F.col("label") == row["label"]
-        below = F.when(own, max(row["least"] + 1, int(min(1.0, max_urls / row["n"]) * (1 << 30)))).otherwise(below)
+        own, share = F.col("label") == row["label"], 1.0 if max_urls is None else min(1.0, max_urls / row["n"])
+        below = F.when(own, max(row["least"] + 1, int(share * (1 << 30)))).otherwise(below)
         least = F.when(own, row["least"]).otherwise(least)
     held_out = (F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0) & (F.col("_h") != least)
-    chosen = known.where(F.col("_h") < below).distinct().withColumn("_held", held_out)
-    rows = gram_counts(chosen.where("NOT _held")).toArrow()
-    labels = np.array(rows.column("label").to_pylist(), dtype=object)
-    k, context, gram, n = (rows.column(name).to_numpy() for name in ("k", "context", "gram", "n"))
-    models = {label: markov_model(*(x[labels == label] for x in (k, context, gram, n))) for label in ("allow", "block")}
-    if len(sizes) < 2 or not all((labels == label).any() for label in models):
+    chosen = known.where(F.col("_h") < below).withColumn("_held", held_out)
+    models = markov_models(stored(gram_counts(chosen.where("NOT _held")), "grams"))
+    if len(sizes) < 2:
         return UrlModel(models["allow"], models["block"], float("-inf"))
     model = UrlModel(models["allow"], models["block"], 0.0)
-    held = chosen.where("_held").select("label", "url").toArrow()
-    block = np.array(held.column("label").to_pylist(), dtype=object) == "block"
-    if block.any() and not block.all():
-        scores = model.scores(pa.concat_arrays(held.column("url").chunks))
-        order = np.argsort(scores)
-        # Cut before each score: rejected URLs above it and accepted ones below it are errors.
-        wrong_block = block.sum() - np.concatenate(([0], np.cumsum(block[order])))
-        wrong_allow = np.concatenate(([0], np.cumsum(~block[order])))
-        best = int(np.argmin(wrong_block / block.sum() + wrong_allow / (~block).sum()))
-        edges = np.concatenate(([scores.min() - 1], np.sort(scores), [scores.max() + 1]))
-        model = UrlModel(models["allow"], models["block"], float((edges[best] + edges[best + 1]) / 2))
-    return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.scores(texts) for _, texts in text_slices(batch.column(1), 1 << 18)]
+            values = np.concatenate(scores) if scores else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["label", "score"])
+
+    held = chosen.where("_held").select("label", "url").mapInArrow(run, "label string, score double")
+    return UrlModel(model.accepted, model.rejected, best_threshold(held))
 
 
 def label_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, unwanted: Sequence[str] = UNWANTED) -> DataFrame:

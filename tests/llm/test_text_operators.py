@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -238,6 +239,21 @@ def test_urls_train_on_distinct_urls(spark):
         assert url_filter.train_url_model(frame, max_urls=few).threshold > float("-inf")
 
 
+def test_all_urls_train_and_calibrate(spark):
+    rows = [(f"http://site.com/{'abcdefgh'[i % 8]}/{i * 7919 % 99991:x}", "allow" if i % 3 else "block") for i in range(66_000)]
+    frame = spark.createDataFrame(rows, "url string, label string").repartition(8)
+    model = url_filter.train_url_model(frame)
+    held = {url for url, in frame.where(F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0).select("url").collect()}
+    trained = {label: sum(len(url) + 1 for url, own in rows if own == label and url not in held) for label in ("allow", "block")}
+    for label, part in (("allow", model.accepted), ("block", model.rejected)):
+        assert all(abs(table.sum(dtype=float) - trained[label]) < 40 for table in part.contexts)  # one URL of each label is never held out
+    scores = model.scores(pa.array([url for url, _ in rows]))
+    kept = np.array([url in held for url, _ in rows])
+    block = np.array([label == "block" for _, label in rows])
+    wrong = lambda cut: (block & kept & (scores >= cut)).sum() / (block & kept).sum() + (~block & kept & (scores < cut)).sum() / (~block & kept).sum()
+    assert wrong(model.threshold) <= min(wrong(cut) for cut in np.quantile(scores, np.linspace(0, 1, 300))) + 0.001
+
+
 def test_licences(spark):
     model = licences.train_licence_model(spark)
     rows = [
