@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+from docketframe.llm import language
 from pyspark.sql import functions as F
 
 
@@ -27,3 +30,17 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
     assert corpus_pipeline.near_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_the_model_and_the_bound_come_from_all_documents(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèçñå") for _ in range(5))
+    rows = [(i, f"{word()} {word()}", "aa" if i % 2 else "bb") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language.train_language_model(docs)
+    table = language.word_table(pa.array([text for _, text, _ in rows]), model.letters)
+    owner = np.repeat(table.row, np.diff(np.append(table.first, len(table.hashes))))
+    own = model.scores[table.hashes, np.array([lang == "bb" for _, _, lang in rows])[owner].astype(int)]
+    assert (own > model.scores.min()).all()
+    gains = sorted(r.gain for r in language.detect_languages(docs, model).collect())
+    assert language.least_gain(docs, model) == min(0.0, gains[11])
