@@ -73,16 +73,21 @@ def extract_citation(header: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Normalise whitespace of a section, keeping breaks next to ``__`` marks."""
-    text = F.regexp_replace(text, BANNER_PATTERN, "$1")
-    # Line breaks that touch no "__" are soft. The break comes first in the
-    # pattern, so that the look behind runs at breaks only.
-    text = F.regexp_replace(text, r"\n(?<!__\n)(?!__)", " ")
-    # After this no break is followed by whitespace, so blank lines are gone too.
-    text = F.regexp_replace(text, rf"\n{WS}+", "\n")
-    text = F.regexp_replace(text, "  +", " ")
-    # Separator runs: three or more spaced stars. Possessive, so that a very
-    # long run neither backtracks nor recurses.
-    text = F.regexp_replace(text, rf"\*(?:{WS}++\*){{2,}}+", "")
+    # Each rule is tried only where the texts it needs are found.
+    steps = [
+        ("PDF", BANNER_PATTERN, "$1"),
+        # Line breaks that touch no "__" are soft. The break comes first in the
+        # pattern, so that the look behind runs at breaks only.
+        ("\n", r"\n(?<!__\n)(?!__)", " "),
+        # After this no break is followed by whitespace, so blank lines are gone too.
+        ("\n", rf"\n{WS}+", "\n"),
+        ("  ", "  +", " "),
+        # Separator runs: three or more spaced stars. Possessive, so that a very
+        # long run neither backtracks nor recurses.
+        ("*", rf"\*(?:{WS}++\*){{2,}}+", ""),
+    ]
+    for part, pattern, replacement in steps:
+        text = let(text, lambda x: F.when(F.contains(x, F.lit(part)), F.regexp_replace(x, pattern, replacement)).otherwise(x))
     return strip(text)
 
 

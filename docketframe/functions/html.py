@@ -9,6 +9,7 @@ the pieces, so an element that is never closed costs no more than one that is.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -23,33 +24,37 @@ RUN = 256
 # Stand-ins for characters of preformatted text, and for the borders of quotes, until the rest is done.
 NEW_LINE, SPACE, QUOTE, END_OF_QUOTE = "\x01", "\x02", "\x03", "\x04"
 
+# Rules: a pattern, its replacement, and texts of which every match holds one; a page without any of them is not searched.
 HIDDEN = [
-    (f"[{NEW_LINE}{SPACE}{QUOTE}{END_OF_QUOTE}]", ""),
-    (r"(?s)<!--.*?(?:-->|\z)", ""),
-    (r"(?is)\A((?>.*?<head\b)).*?</head\s*>", ""),
-    (r"(?is)<script\b.*?(?:</script\s*>|\z)", ""),
-    (r"(?is)<style\b.*?(?:</style\s*>|\z)", ""),
+    (f"[{NEW_LINE}{SPACE}{QUOTE}{END_OF_QUOTE}]", "", [NEW_LINE, SPACE, QUOTE, END_OF_QUOTE]),
+    (r"(?s)<!--.*?(?:-->|\z)", "", ["<!--"]),
+    (r"(?is)\A((?>.*?<head\b)).*?</head\s*>", "", ["</h", "</H"]),
+    (r"(?is)<script\b.*?(?:</script\s*>|\z)", "", ["<s", "<S"]),
+    (r"(?is)<style\b.*?(?:</style\s*>|\z)", "", ["<s", "<S"]),
 ]
 INLINE = [
-    (r"(?i)</?(?:b|strong)(?: [^<>]*)?>", "**"),
-    (r"(?i)</?(?:i|em)(?: [^<>]*)?>", "_"),
-    *((rf"(?i) ?<h{n}(?: [^<>]*)?> ?", "\n\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?i)</?(?:b|strong)(?: [^<>]*)?>", "**", ["<b>", "<B>", "<b ", "<B ", "</b", "</B", "<s", "<S", "</s", "</S"]),
+    (r"(?i)</?(?:i|em)(?: [^<>]*)?>", "_", ["<i", "<I", "</i", "</I", "<e", "<E", "</e", "</E"]),
+    *((rf"(?i) ?<h{n}(?: [^<>]*)?> ?", "\n\n" + "#" * n + " ", [f"<h{n}", f"<H{n}"]) for n in range(1, 7)),
 ]
 LIST_TAG = r"(?i) ?</?(?:ol|ul|li)(?: [^<>]*)?> ?"
+LIST_STARTS = [f"<{slash}{letter}" for slash in ("", "/") for letter in "oOuUlL"]
+CELL_STARTS = [f"<{slash}{letter}" for slash in ("", "/") for letter in "tT"]
+ENTRY_STARTS = ["<dt", "<dT", "<Dt", "<DT", "<dd", "<dD", "<Dd", "<DD"]
 BLOCKS = [
-    (r"(?i) ?<hr ?(?: [^<>]*)?/?> ?", "\n\n* * *\n\n"),
-    (r"(?i) ?<br ?/?> ?", "  \n"),
+    (r"(?i) ?<hr ?(?: [^<>]*)?/?> ?", "\n\n* * *\n\n", ["<h", "<H"]),
+    (r"(?i) ?<br ?/?> ?", "  \n", ["<br", "<bR", "<Br", "<BR"]),
     # The first cell of a row needs no border.
-    (r"(?i) ?<tr(?: [^<>]*)?> ?(?:<t[dh](?: [^<>]*)?> ?)?", "\n"),
-    (r"(?i) ?(?:</t[dh] ?> ?)?<t[dh](?: [^<>]*)?> ?", "| "),
-    (r"(?i) ?</(?:tr|t[dh]) ?> ?", ""),
-    (r"(?i) ?(?:</d[td] ?> ?)?<dt(?: [^<>]*)?> ?", "\n"),
-    (r"(?i) ?(?:</d[td] ?> ?)?<dd(?: [^<>]*)?> ?", "\n    "),
-    (r"(?i) ?<blockquote(?: [^<>]*)?> ?", f"\n\n{QUOTE}"),
-    (r"(?i) ?</blockquote ?> ?", f"{END_OF_QUOTE}\n\n"),
-    (r"(?i) ?</?(?:p|div|dl|article|section|header|nav|footer|table|h[1-6])(?: [^<>]*)?> ?", "\n\n"),
-    (r"</?[a-zA-Z!?][^<>]*>", ""),
-    (r"\n{3,}", "\n\n"),
+    (r"(?i) ?<tr(?: [^<>]*)?> ?(?:<t[dh](?: [^<>]*)?> ?)?", "\n", CELL_STARTS[:2]),
+    (r"(?i) ?(?:</t[dh] ?> ?)?<t[dh](?: [^<>]*)?> ?", "| ", CELL_STARTS[:2]),
+    (r"(?i) ?</(?:tr|t[dh]) ?> ?", "", CELL_STARTS[2:]),
+    (r"(?i) ?(?:</d[td] ?> ?)?<dt(?: [^<>]*)?> ?", "\n", ENTRY_STARTS[:4]),
+    (r"(?i) ?(?:</d[td] ?> ?)?<dd(?: [^<>]*)?> ?", "\n    ", ENTRY_STARTS[4:]),
+    (r"(?i) ?<blockquote(?: [^<>]*)?> ?", f"\n\n{QUOTE}", ["<bl", "<bL", "<Bl", "<BL"]),
+    (r"(?i) ?</blockquote ?> ?", f"{END_OF_QUOTE}\n\n", ["</bl", "</bL", "</Bl", "</BL"]),
+    (r"(?i) ?</?(?:p|div|dl|article|section|header|nav|footer|table|h[1-6])(?: [^<>]*)?> ?", "\n\n", ["<"]),
+    (r"</?[a-zA-Z!?][^<>]*>", "", ["<"]),
+    (r"\n{3,}", "\n\n", ["\n\n\n"]),
 ]
 # Named character references: all of HTML 4, of which these have a plainer spelling (fixed values).
 PLAIN = {
@@ -59,9 +64,14 @@ PLAIN = {
 REFERENCES = {**{name: chr(code) for name, code in name2codepoint.items()}, **PLAIN}
 
 
-def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+def holds(text: Column, parts: list[str]) -> Column:
+    """Whether the text has any of the parts; bytes are compared, which takes a fraction of a pattern's time."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(part)) for part in parts))
+
+
+def replaced(text: Column, rules: list[tuple[str, str, list[str]]]) -> Column:
+    for pattern, replacement, parts in rules:
+        text = let(text, lambda x: F.when(holds(x, parts), F.regexp_replace(x, pattern, replacement)).otherwise(x))
     return text
 
 
@@ -80,7 +90,7 @@ def preformatted(text: Column) -> Column:
         border = NEW_LINE * 2
         return F.concat(F.lit(border + SPACE * 4), kept, F.lit(border), F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
 
-    return pieces(text, r"(?i) ?<pre(?: [^<>]*)?>", block)
+    return let(text, lambda x: F.when(holds(x, ["<p", "<P"]), pieces(x, r"(?i) ?<pre(?: [^<>]*)?>", block)).otherwise(x))
 
 
 def links(text: Column) -> Column:
@@ -94,7 +104,12 @@ def links(text: Column) -> Column:
             closed, F.concat(F.lit("["), F.get(rest, F.lit(0)), F.lit("]("), address, F.lit(")"), F.get(rest, F.lit(1)))
         ).otherwise(F.concat(F.lit("<a"), piece))
 
-    return pieces(text, r"(?i)<a(?= )", link)
+    return let(text, lambda x: F.when(holds(x, ["<a ", "<A "]), pieces(x, r"(?i)<a(?= )", link)).otherwise(x))
+
+
+def single_spaces(text: Column) -> Column:
+    """White space as single spaces; a text that has it so already is not searched."""
+    return F.when(holds(text, ["\t", "\r", "\n", "  "]), F.regexp_replace(text, r"[ \t\r\n]+", " ")).otherwise(text)
 
 
 def lists(text: Column) -> Column:
@@ -137,7 +152,7 @@ def lists(text: Column) -> Column:
 
     marks = let(F.regexp_extract_all(text, F.lit(LIST_TAG), F.lit(0)), in_runs)
     joined = F.zip_with(F.split(text, LIST_TAG), marks, lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit(""))))
-    return F.when(F.rlike(text, F.lit(LIST_TAG)), F.array_join(joined, "")).otherwise(text)
+    return F.when(holds(text, LIST_STARTS) & F.rlike(text, F.lit(LIST_TAG)), F.array_join(joined, "")).otherwise(text)
 
 
 def quotes(text: Column) -> Column:
@@ -155,16 +170,20 @@ def decode_references(text: Column) -> Column:
     """``&#233;``, ``&#xE9;`` and ``&eacute;`` to their characters, once; anything else stays as it is."""
     names = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
 
-    def decoded(piece: Column) -> Column:
-        reference = F.regexp_extract(piece, r"^(?:#(?:[xX]0*[0-9a-fA-F]{1,6}|0*[0-9]{1,7})|[a-zA-Z][a-zA-Z0-9]{1,9});", 0)
-        name = F.rtrim(reference, F.lit(";"))
+    def numbered(name: Column) -> Column:
         digits = F.substr(name, F.lit(2))
         hex_digits = F.ltrim(F.lower(digits), F.lit("x"))
         code = F.when(digits.rlike("^[xX]"), F.conv(hex_digits, 16, 10)).otherwise(digits).try_cast("bigint")
-        usable = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        numbered = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        character = F.when(reference == "", None).when(F.startswith(name, F.lit("#")), numbered).otherwise(F.try_element_at(names, name))
-        return F.coalesce(F.concat(character, F.substr(piece, F.length(reference) + 1)), F.concat(F.lit("&"), piece))
+        usable = lambda c: ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
+        return let(code, lambda c: F.when((c >= 0x20) & (c < 0x7F) | (c == 10), F.char(c)).when(usable(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))
+
+    def decoded(piece: Column) -> Column:
+        def shown(reference: Column) -> Column:
+            name = F.rtrim(reference, F.lit(";"))
+            character = F.when(reference == "", None).when(F.startswith(name, F.lit("#")), numbered(name)).otherwise(F.try_element_at(names, name))
+            return F.coalesce(F.concat(character, F.substr(piece, F.length(reference) + 1)), F.concat(F.lit("&"), piece))
+
+        return let(F.regexp_extract(piece, r"^(?:#(?:[xX]0*[0-9a-fA-F]{1,6}|0*[0-9]{1,7})|[a-zA-Z][a-zA-Z0-9]{1,9});", 0), shown)
 
     return F.when(F.contains(text, F.lit("&")), pieces(text, "&", decoded)).otherwise(text)
 
@@ -172,13 +191,13 @@ def decode_references(text: Column) -> Column:
 def markdown_of(html: Column) -> Column:
     steps = [
         lambda text: preformatted(replaced(text, HIDDEN)),
-        lambda text: links(F.regexp_replace(text, r"[ \t\r\n]+", " ")),
+        lambda text: links(single_spaces(text)),
         lambda text: replaced(text, INLINE),
         lists,
         lambda text: replaced(text, BLOCKS),
         quotes,
         decode_references,
-        lambda text: strip(F.translate(text, NEW_LINE + SPACE, "\n ")),
+        lambda text: strip(F.when(holds(text, [NEW_LINE, SPACE]), F.translate(text, NEW_LINE + SPACE, "\n ")).otherwise(text)),
     ]
     # Each step's text is worked out once, however often the next one uses it.
     text = html
