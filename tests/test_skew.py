@@ -60,3 +60,12 @@ def test_missing_keys_are_dealt_out(spark, skewed):
     assert joined.count() == N and joined.where("metadata is not null").count() == 1
     missing = joined.where("citation is null").groupBy(F.spark_partition_id()).count().collect()
     assert len(missing) > 1 and max(r["count"] for r in missing) < N // 3 // 2
+
+
+def test_sentences_are_shuffled_with_their_own_columns_only(spark):
+    rows = spark.createDataFrame([("cc_1_ycja", 1), (" 2", 2), (None, 3)], "offence string, n long")
+    table = spark.createDataFrame([(1, "cc1", "A"), (2, "2", "B")], "ord long, section string, offence_name string")
+    found = d.resolve_offences(rows, table, output="found", broadcast_limit=0)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1].split("\n", 1)[1]
+    assert not any(name in below.split("__hit")[0] for name in ("__code", "__base", "__key", "__spread"))
+    assert sorted((r.n, *r.found) for r in found.collect()) == [(1, "cc1", "A (YCJA)"), (2, "2", "B"), (3, None, None)]
