@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_table_operators import plain_components
@@ -85,6 +86,40 @@ def test_similar_sets_share_a_segment(threshold):
         assert (x == y).any()
 
 
+@pytest.mark.parametrize("threshold", [30, 80, 90])
+def test_parities_rule_out_no_link(threshold):
+    rng = np.random.default_rng(threshold)
+    for _ in range(200):
+        n = int(rng.integers(1, 1500))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.concatenate((a[int(rng.integers(0, len(a) // 2 + 1)):], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 2))).astype(np.uint64)))
+        if not len(b):
+            continue
+        shared = len(np.intersect1d(a, b))
+        sets = pa.array([ngram_join.parity(a), ngram_join.parity(b)], pa.list_(pa.int64()))
+        x, y = ngram_join.stacked(sets, sets.value_lengths().to_numpy().min())
+        bits = np.bitwise_count(x ^ y).sum(dtype=np.int64)
+        assert bits <= len(a) + len(b) - 2 * shared
+        if 100 * shared >= threshold * (len(a) + len(b) - shared):
+            assert ngram_join.may_link(bits, np.int64(len(a)), np.int64(len(b)), threshold)
+
+
+def test_strangers_with_a_passage_are_not_verified(spark, monkeypatch):
+    verified = []
+
+    def counted(pairs, sets, threshold, plain=ngram_join.confirmed):
+        verified.append(pairs.count())
+        return plain(pairs, sets, threshold)
+
+    monkeypatch.setattr(ngram_join, "confirmed", counted)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([*passage, *(f"s{i}x{k}" for k in range(8))])) for i in range(60)]
+    rows.append((60, rows[0][1] + " more"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90)
+    assert sum(verified) <= len(rows)
+
+
 def test_join_of_odd_rows(spark):
     rows = [(7, "a b c d"), (7, "a b c d"), (7, "x y z"), (3, "A b  c d"), (None, "a b c d"), (None, None), (9, "w " * 30_000), (8, "w " * 20_000), (4, None)]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, members string")
