@@ -9,10 +9,12 @@ found through a bucket are confirmed on the full sets.
 
 How a bucket is compared: documents with the same set are one class, and only its smallest document takes part. A
 bucket's members are compared with one leader, the links become components, and only members of *other* components are
-left to compare. Of these, a document takes part with the shingles that any other of them has too: they bound every
-overlap it can have, which rules out strangers that share a passage and the strongly changed members of a group of near
-copies. Each further round sets a block of leaders against what remains, and a bucket is done when that has one
+left to compare. Each further round sets a block of leaders against what remains, and a bucket is done when that has one
 component. No bucket is expanded into all its pairs, and no pair of a bucket that could join two components is left out.
+
+Every class carries the parities of its set: as many bits as shingles or up to twice as many, each of which tells whether an
+odd number of the set's shingles hash to its place. A shingle that only one of two sets has changes one bit, so sets differ in
+at least as many shingles as their parities in bits. Two classes meet with their full sets only if their parities allow a link.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ from docketframe.llm.words import mix, split_words, text_slices, window_codes
 
 PERMUTATIONS = 189
 ROWS_PER_BAND = 7
-LEADERS_PER_ROUND = 256
+# Leaders of each bucket in the first round, and in all others.
+FIRST_LEADERS = 16
+MOST_LEADERS = 256
 MEMBERS_PER_CHUNK = 1024
 BLOCK = 1 << 11
+PARITY_SALT = 0x5BE0CD19137E2179
 
 _DRAWN = np.random.default_rng(8)
 FACTORS = _DRAWN.integers(1, 2**63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,24 +95,56 @@ def set_name(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of members hash to their place; their number is a power of two, that of the members or more."""
+    bits = max(64, 1 << max(0, len(members) - 1).bit_length())
+    place = (mix(members ^ np.uint64(PARITY_SALT)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(parities: np.ndarray, width: int) -> np.ndarray:
+    """The parities, one in a row, that the sets have with ``width`` numbers of 64 bits."""
+    while parities.shape[1] > width:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
+
+
+def stacked(parities: pa.ListArray, width: int) -> np.ndarray:
+    """The parities of a column as rows of ``width`` numbers, which is at most the least that one of them has."""
+    flat, lengths = parities.flatten().to_numpy().view(np.uint64), parities.value_lengths().to_numpy()
+    first = np.cumsum(lengths) - lengths
+    out = np.empty((len(lengths), width), dtype=np.uint64)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        out[at] = folded(flat[first[at][:, None] + np.arange(length)], width)
+    return out
+
+
+def may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets of these sizes, whose parities differ in ``bits`` bits, can be similar enough."""
+    return (100 * np.minimum(n, other) >= threshold * np.maximum(n, other)) & (bits * (100 + threshold) <= (n + other) * (100 - threshold))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: its set's size and name, and the bucket keys; after them the other columns of ``docs``."""
+    """Per document: its set's size and name, the bucket keys and the parities; after them the other columns of ``docs``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, keys, odd = [], [], [], []
             for members in shingle_sets(batch.column(1), size):
                 sizes.append(len(members))
                 names.append(set_name(members))
                 keys.append(band_keys(signature(members)) if len(members) else None)
+                odd.append(parity(members))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
-                names=["doc_id", "n_shingles", "set_name", "bands", *others],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "set_name", "bands", "parity", *others],
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    kinds = T.StructType.fromDDL("doc_id long, n_shingles long, set_name binary, bands array<long>")
+    kinds = T.StructType.fromDDL("doc_id long, n_shingles long, set_name binary, bands array<long>, parity array<long>")
     return source.mapInArrow(run, T.StructType([*kinds, *(source.schema[c] for c in others)]))
 
 
@@ -206,39 +243,32 @@ def components_of(docs: DataFrame, shingle_words: int, threshold: int) -> DataFr
     sketch = stored(sketches(docs, shingle_words), "sketches")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(
-        named.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+        named.groupBy("set_name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("parity", "doc_id").alias("parity"))
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    in_bucket = classes.select("node", "n", F.explode("bands").alias("key"))
+    in_bucket = classes.select("node", F.explode("bands").alias("key"))
     crowded = in_bucket.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = stored(in_bucket.join(crowded, "key").select("key", "node", "n", "leader"), "buckets")
+    members = stored(in_bucket.join(crowded, "key").select("key", "node", "leader"), "buckets").where("leader <> node")
 
-    involved = classes.select("doc_id", "set_name", "node").join(members.select("node").distinct(), "node")
-    # The row that stands for a class is found by document and set, so that repeated ids with other texts don't meet.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(involved.select("doc_id").distinct(), "doc_id")
-    sets = stored(full_sets(texts, shingle_words).join(involved, ["doc_id", "set_name"]).select("node", "members"), "sets")
-
-    lengths = members.groupBy("node").agg(F.max("n").alias("n"))
-    pairs = members.where("leader <> node").select("leader", "node", "n").distinct()
-    pairs = pairs.join(lengths.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
-    links = stored(confirmed(similar_sizes(pairs, threshold), sets, threshold), "links")
+    traits = classes.select("node", "n", "parity")
+    pairs = stored(possible(members.select("leader", "node").distinct(), traits, threshold), "pairs")
+    links = stored(confirmed(pairs, stored(sets_of_pairs(texts, classes, pairs, shingle_words), "sets"), threshold), "links")
     parts = stored(connected_components(links), "components")
 
-    left = mixed_buckets(members.where("leader <> node").select("key", "node", "n"), parts)
-    shared = shareable(sets.join(left.select("node").distinct(), "node"))
-    left = stored(left.drop("component").join(shared, "node").where(f"100 * s >= {threshold} * n"), "left")
-    while True:
-        left = stored(mixed_buckets(left, parts), "left")
-        if left.isEmpty():
-            break
-        leaders = stored(next_leaders(left), "leaders")
-        new = stored(confirmed_in_buckets(left, leaders, sets, classes, threshold), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            parts = stored(connected_components(links), "components")
-        left = left.join(leaders.select("key", "node"), ["key", "node"], "left_anti").drop("component")
+    left = stored(mixed_buckets(members.select("key", "node"), parts).join(traits, "node"), "left")
+    number = FIRST_LEADERS
+    while not left.isEmpty():
+        leaders = stored(next_leaders(left, number), "leaders")
+        number = MOST_LEADERS
+        pairs = stored(pairs_of_round(left, leaders, threshold), "pairs")
+        if not pairs.isEmpty():
+            new = stored(confirmed(pairs, stored(sets_of_pairs(texts, classes, pairs, shingle_words), "sets"), threshold), "links")
+            if not new.isEmpty():
+                links = links.union(new)
+                parts = stored(connected_components(links), "components")
+        left = stored(mixed_buckets(left.join(leaders.select("key", "node"), ["key", "node"], "left_anti"), parts), "left")
 
     grouped = classes.select("set_name", "node", "doc_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -255,79 +285,92 @@ def mixed_buckets(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return found.join(mixed.select("key"), "key")
 
 
-def shareable(sets: DataFrame) -> DataFrame:
-    """Per document, ``s``: how many of its shingles any other of these documents has."""
+def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``node, members`` of the classes; the row that stands for a class is found by its document and set."""
+    texts = docs.join(classes.select("doc_id").distinct(), "doc_id")
+    return full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, members in zip(batch.column(0).to_numpy().tolist(), batch.column(1), strict=True):
-                codes = np.frombuffer(members.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), node)), pa.array(codes)], names=["node", "code"])
 
-    rows = sets.select("node", "members").mapInArrow(run, "node long, code long")
-    common = rows.groupBy("code").agg(F.count("*").alias("holders")).where("holders > 1")
-    return rows.join(common.select("code"), "code").groupBy("node").agg(F.count("*").alias("s"))
+def sets_of_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``node, members`` of the classes in the pairs ``leader, node``."""
+    nodes = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
+    return sets_of(docs, classes.join(nodes, "node"), size)
+
 
+def possible(pairs: DataFrame, traits: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``leader, node`` whose sizes and parities allow a link."""
 
-def similar_sizes(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Sets whose sizes differ too much can't be similar enough."""
-    return pairs.where(f"100 * least(n, leader_n) >= {threshold} * greatest(n, leader_n)").select("leader", "node").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, leader_n = (batch.column(name).to_numpy() for name in ("n", "leader_n"))
+            own, leaders = batch.column("parity"), batch.column("leader_parity")
+            widths = np.minimum(own.value_lengths().to_numpy(), leaders.value_lengths().to_numpy())
+            bits = np.zeros(batch.num_rows, dtype=np.int64)
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                bits[at] = np.bitwise_count(stacked(own.take(pa.array(at)), width) ^ stacked(leaders.take(pa.array(at)), width)).sum(axis=1)
+            yield batch.select(["leader", "node"]).filter(pa.array(may_link(bits, n, leader_n, threshold)))
 
+    heads = traits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("parity").alias("leader_parity"))
+    return pairs.join(traits, "node").join(heads, "leader").mapInArrow(run, "leader long, node long")
 
-def next_leaders(left: DataFrame) -> DataFrame:
-    """Up to ``LEADERS_PER_ROUND`` rows of each bucket with their ``rank``, and the bucket's number of ``chunks``.
 
-    Leaders come from the bucket's smallest components, so that after as many rounds as these have members only the
-    largest is left. A bucket of any size is ranked in parts first.
-    """
+def next_leaders(left: DataFrame, number: int) -> DataFrame:
+    """Up to ``number`` rows of each digest, from its smallest components, and the digest's number of ``chunks``; one of any size is ranked in parts."""
     sizes = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
     chunks = sizes.groupBy("key").agg((F.expr(f"sum(rows) div {MEMBERS_PER_CHUNK}") + 1).alias("chunks"))
     rows = left.join(sizes, ["key", "component"]).join(chunks, "key").withColumn("part", F.expr("pmod(xxhash64(node), chunks)"))
     order = [F.col("rows"), F.col("component"), F.col("node")]
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).where(F.col("rank") <= LEADERS_PER_ROUND)
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= LEADERS_PER_ROUND)
-    return best.select("key", "node", "n", "s", "component", "rank", "chunks")
-
-
-def confirmed_in_buckets(left: DataFrame, leaders: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Links of each bucket's leaders with its members of other components, each pair taken in its first common bucket only."""
-    buckets = leaders.groupBy("key").agg(F.max("chunks").alias("chunks"))
-    ranks = leaders.select("key", "node", "rank")
-    members = left.join(buckets, "key").join(ranks, ["key", "node"], "left").select(
-        "key", F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), F.lit(1).alias("role"), F.coalesce("rank", F.lit(LEADERS_PER_ROUND + 1)).alias("rank"),
-        "node", "component", "n", "s",
-    )
-    heads = leaders.select(
-        "key", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(0).alias("role"), "rank", "node", "component", "n", "s"
-    )
-    rows = members.unionByName(heads).join(sets, "node").join(classes.select("node", "bands"), "node")
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).where(F.col("rank") <= number)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
+    return best.select("key", "node", "n", "parity", "component", "chunks")
+
+
+def pairs_of_round(left: DataFrame, leaders: DataFrame, threshold: int) -> DataFrame:
+    """``leader, node`` of each digest's leaders and its rows of other components, as far as sizes and parities allow a link.
+
+    The rows of a digest are dealt into chunks of about 1024, each of which gets the leaders.
+    """
+    columns = ["node", "n", "component", "parity"]
+    chunks = leaders.groupBy("key").agg(F.max("chunks").alias("chunks"))
+    members = left.join(chunks, "key").select("key", F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), F.lit(1).alias("role"), *columns)
+    heads = leaders.select("key", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(0).alias("role"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads, table = None, [], None
+        group, leading = None, []
         for batch in batches:
-            out = []
-            numbers = (batch.column(i).to_numpy().tolist() for i in range(8))
-            all_bands = batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for i, (key, chunk, role, rank, node, component, n, s) in enumerate(zip(*numbers, strict=True)):
-                if (key, chunk) != group:
-                    group, heads, table = (key, chunk), [], None
-                own, bands = np.frombuffer(batch.column(8)[i].as_buffer(), dtype=np.uint64), all_bands[i]
-                if role == 0:
-                    heads.append((rank, node, component, n, s, own.copy(), bands.copy()))
+            key, chunk, role = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if (key[first], chunk[first]) != group:
+                    group, leading = (key[first], chunk[first]), []
+                middle = first + int(np.searchsorted(role[first:last], 1))
+                if middle > first:
+                    leading.append(batch.slice(first, middle - first))
+                if middle == last:
                     continue
-                if table is None:
-                    table = [np.array([x[i] for x in heads]) for i in (0, 2, 3, 4, 6)]
-                ranks, parts, sizes, shares, keys = table
-                most = np.minimum(shares, s)
-                fit = (ranks < rank) & (parts != component) & (100 * most >= threshold * (sizes + n - most))
-                fit[fit] = keys[fit][np.arange(fit.sum()), np.argmax(keys[fit] == bands, axis=1)] == key
-                for k in np.flatnonzero(fit):
-                    if similar(heads[k][5], own, threshold):
-                        out.append((heads[k][1], node))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
-            )
-
-    columns = ["key", "chunk", "role", "rank", "node", "component", "n", "s", "members", "bands"]
-    placed = rows.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+                those = pa.Table.from_batches(leading).combine_chunks().to_batches()[0]
+                leading = [those]
+                for at in range(middle, last, MEMBERS_PER_CHUNK):
+                    x, y = linked_places(batch.slice(at, min(last - at, MEMBERS_PER_CHUNK)), those, threshold)
+                    a.append(x)
+                    b.append(y)
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["leader", "node"])
+
+    placed = members.unionByName(heads).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role")
+    return placed.mapInArrow(run, "leader long, node long").distinct()
+
+
+def linked_places(members: pa.RecordBatch, leaders: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of members and leaders of other components that may have a link."""
+    width = min(x.column("parity").value_lengths().to_numpy().min() for x in (members, leaders))
+    own, theirs = (stacked(x.column("parity"), width) for x in (members, leaders))
+    bits = np.zeros((len(own), len(theirs)), dtype=np.int64)
+    for k in range(width):
+        bits += np.bitwise_count(own[:, k, None] ^ theirs[None, :, k])
+    (node, n, part), (leader, leader_n, leader_part) = ([x.column(name).to_numpy() for name in ("node", "n", "component")] for x in (members, leaders))
+    fit = may_link(bits, n[:, None], leader_n[None, :], threshold) & (part[:, None] != leader_part[None, :])
+    x, y = np.nonzero(fit)
+    return node[x], leader[y]

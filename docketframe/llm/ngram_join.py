@@ -16,9 +16,7 @@ classes are compared with one leader, which joins near copies into components, a
 of leaders from the smaller components, until no digest has two components left that were not compared; so no link between
 different sets is lost for the components, and no group is expanded into all its pairs.
 
-Every class carries the parities of its set: as many bits as n-grams or up to twice as many, each of which tells whether an odd
-number of the set's n-grams hash to its place. An n-gram that only one of two sets has changes one bit, so sets differ in at least as
-many n-grams as their parities in bits. Two classes meet with their full sets only if their parities allow a link, which rules
+Every class carries the parities of its set (see ``minmax``). Two classes meet with their full sets only if their parities allow a link, which rules
 out strangers that share a passage and the strongly changed members of a group of near copies; it never rules out a link.
 """
 
@@ -33,15 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketframe.llm.components import connected_components
-from docketframe.llm.minmax import MEMBERS_PER_CHUNK, confirmed, full_sets, mixed_buckets, set_name, shingle_sets
+from docketframe.llm.minmax import (
+    FIRST_LEADERS, MOST_LEADERS, confirmed, may_link, mixed_buckets, next_leaders, pairs_of_round, parity, possible, set_name, sets_of, sets_of_pairs, shingle_sets, stacked,
+)
 from docketframe.llm.shared import stored
 from docketframe.llm.words import mix
 
-# Leaders of each digest in the first round, and in all others.
-FIRST_LEADERS = 16
-MOST_LEADERS = 256
 SALT = 0x1F83D9ABFB41BD6B
-PARITY_SALT = 0x5BE0CD19137E2179
 LARGEST_SET = 2**31
 # A digest's place is its band times this, plus its segment.
 BAND_STEP = 1 << 32
@@ -80,37 +76,6 @@ def bands_of(n: int, starts: list[int]) -> list[int]:
     return [band for band in (own, own - 1) if band >= 0]
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """Bits that tell whether an odd number of members hash to their place; their number is a power of two, that of the members or more."""
-    bits = max(64, 1 << max(0, len(members) - 1).bit_length())
-    place = (mix(members ^ np.uint64(PARITY_SALT)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
-
-
-def folded(parities: np.ndarray, width: int) -> np.ndarray:
-    """The parities, one in a row, that the sets have with ``width`` numbers of 64 bits."""
-    while parities.shape[1] > width:
-        half = parities.shape[1] // 2
-        parities = parities[:, :half] ^ parities[:, half:]
-    return parities
-
-
-def stacked(parities: pa.ListArray, width: int) -> np.ndarray:
-    """The parities of a column as rows of ``width`` numbers, which is at most the least that one of them has."""
-    flat, lengths = parities.flatten().to_numpy().view(np.uint64), parities.value_lengths().to_numpy()
-    first = np.cumsum(lengths) - lengths
-    out = np.empty((len(lengths), width), dtype=np.uint64)
-    for length in np.unique(lengths):
-        at = np.flatnonzero(lengths == length)
-        out[at] = folded(flat[first[at][:, None] + np.arange(length)], width)
-    return out
-
-
-def may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sets of these sizes, whose parities differ in ``bits`` bits, can be similar enough."""
-    return (100 * np.minimum(n, other) >= threshold * np.maximum(n, other)) & (bits * (100 + threshold) <= (n + other) * (100 - threshold))
-
-
 def sketches(docs: DataFrame, size: int, starts: list[int], segments: list[int]) -> DataFrame:
     """``doc_id, n_shingles, set_name, band, digests, parity`` of every row: the digests of its own ``band``, by segment, then of the one below.
 
@@ -225,18 +190,6 @@ def shared_digests(docs: DataFrame, classes: DataFrame, size: int, starts: list[
     return near.join(led.select("key", "leader"), "key").unionByName(rows.select("key", "node").join(exact, "key"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """``node, members`` of the classes; the row that stands for a class is found by its document and set."""
-    texts = docs.join(classes.select("doc_id").distinct(), "doc_id")
-    return full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members")
-
-
-def sets_of_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``node, members`` of the classes in the pairs ``leader, node``."""
-    nodes = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
-    return sets_of(docs, classes.join(nodes, "node"), size)
-
-
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs ``leader, node`` of two components."""
     named = pairs.select("leader", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
@@ -244,85 +197,6 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return named.where(F.col("part") != F.coalesce("component", "leader")).select("leader", "node")
 
 
-def possible(pairs: DataFrame, traits: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``leader, node`` whose sizes and parities allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, leader_n = (batch.column(name).to_numpy() for name in ("n", "leader_n"))
-            own, leaders = batch.column("parity"), batch.column("leader_parity")
-            widths = np.minimum(own.value_lengths().to_numpy(), leaders.value_lengths().to_numpy())
-            bits = np.zeros(batch.num_rows, dtype=np.int64)
-            for width in np.unique(widths):
-                at = np.flatnonzero(widths == width)
-                bits[at] = np.bitwise_count(stacked(own.take(pa.array(at)), width) ^ stacked(leaders.take(pa.array(at)), width)).sum(axis=1)
-            yield batch.select(["leader", "node"]).filter(pa.array(may_link(bits, n, leader_n, threshold)))
-
-    heads = traits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("parity").alias("leader_parity"))
-    return pairs.join(traits, "node").join(heads, "leader").mapInArrow(run, "leader long, node long")
-
-
-def next_leaders(left: DataFrame, number: int) -> DataFrame:
-    """Up to ``number`` rows of each digest, from its smallest components, and the digest's number of ``chunks``; one of any size is ranked in parts."""
-    sizes = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    chunks = sizes.groupBy("key").agg((F.expr(f"sum(rows) div {MEMBERS_PER_CHUNK}") + 1).alias("chunks"))
-    rows = left.join(sizes, ["key", "component"]).join(chunks, "key").withColumn("part", F.expr("pmod(xxhash64(node), chunks)"))
-    order = [F.col("rows"), F.col("component"), F.col("node")]
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).where(F.col("rank") <= number)
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
-    return best.select("key", "node", "n", "parity", "component", "chunks")
-
-
-def pairs_of_round(left: DataFrame, leaders: DataFrame, threshold: int) -> DataFrame:
-    """``leader, node`` of each digest's leaders and its rows of other components, as far as sizes and parities allow a link.
-
-    The rows of a digest are dealt into chunks of about 1024, each of which gets the leaders.
-    """
-    columns = ["node", "n", "component", "parity"]
-    chunks = leaders.groupBy("key").agg(F.max("chunks").alias("chunks"))
-    members = left.join(chunks, "key").select("key", F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), F.lit(1).alias("role"), *columns)
-    heads = leaders.select("key", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(0).alias("role"), *columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leading = None, []
-        for batch in batches:
-            key, chunk, role = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if (key[first], chunk[first]) != group:
-                    group, leading = (key[first], chunk[first]), []
-                middle = first + int(np.searchsorted(role[first:last], 1))
-                if middle > first:
-                    leading.append(batch.slice(first, middle - first))
-                if middle == last:
-                    continue
-                those = pa.Table.from_batches(leading).combine_chunks().to_batches()[0]
-                leading = [those]
-                for at in range(middle, last, MEMBERS_PER_CHUNK):
-                    x, y = linked_places(batch.slice(at, min(last - at, MEMBERS_PER_CHUNK)), those, threshold)
-                    a.append(x)
-                    b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["leader", "node"])
-
-    placed = members.unionByName(heads).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role")
-    return placed.mapInArrow(run, "leader long, node long").distinct()
-
-
-def linked_places(members: pa.RecordBatch, leaders: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of members and leaders of other components that may have a link."""
-    width = min(x.column("parity").value_lengths().to_numpy().min() for x in (members, leaders))
-    own, theirs = (stacked(x.column("parity"), width) for x in (members, leaders))
-    bits = np.zeros((len(own), len(theirs)), dtype=np.int64)
-    for k in range(width):
-        bits += np.bitwise_count(own[:, k, None] ^ theirs[None, :, k])
-    (node, n, part), (leader, leader_n, leader_part) = ([x.column(name).to_numpy() for name in ("node", "n", "component")] for x in (members, leaders))
-    fit = may_link(bits, n[:, None], leader_n[None, :], threshold) & (part[:, None] != leader_part[None, :])
-    x, y = np.nonzero(fit)
-    return node[x], leader[y]
-
-
 def jaccard_components(docs: DataFrame, ngram_words: int = 5, threshold: int = 80) -> DataFrame:
     """Every document with the component of similar documents it belongs to.
 

@@ -105,6 +105,22 @@ def test_near_duplicates_of_changed_texts(spark):
     assert got == plain_components(rows, 4, 80)
 
 
+def test_near_duplicates_verify_few_strangers(spark, monkeypatch):
+    verified = []
+
+    def counted(pairs, sets, threshold, plain=minmax.confirmed):
+        verified.append(pairs.count())
+        return plain(pairs, sets, threshold)
+
+    monkeypatch.setattr(minmax, "confirmed", counted)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([*passage, *(f"s{i}x{k}" for k in range(20))])) for i in range(60)]
+    rows.append((60, rows[0][1] + " more"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+    assert sum(verified) <= 20
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minmax.near_duplicates(odd, 5, 80)
     assert got.count() == odd.count()
