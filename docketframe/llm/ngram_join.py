@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from docketframe.llm.components import connected_components
 from docketframe.llm.minmax import (
-    FIRST_LEADERS, MOST_LEADERS, confirmed, may_link, mixed_buckets, next_leaders, pairs_of_round, parity, possible, set_name, sets_of, sets_of_pairs, shingle_sets, stacked,
+    FIRST_LEADERS, MOST_LEADERS, confirmed, mixed_buckets, next_leaders, pairs_of_round, parity, possible, set_name, sets_of, sets_of_pairs, shingle_sets,
 )
 from docketframe.llm.shared import stored
 from docketframe.llm.words import mix

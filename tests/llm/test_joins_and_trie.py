@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_table_operators import plain_components
 
-from docketframe.llm import hard_negatives, ngram_join, prefix_trie
+from docketframe.llm import hard_negatives, minmax, ngram_join, prefix_trie
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,12 +96,12 @@ def test_parities_rule_out_no_link(threshold):
         if not len(b):
             continue
         shared = len(np.intersect1d(a, b))
-        sets = pa.array([ngram_join.parity(a), ngram_join.parity(b)], pa.list_(pa.int64()))
-        x, y = ngram_join.stacked(sets, sets.value_lengths().to_numpy().min())
+        sets = pa.array([minmax.parity(a), minmax.parity(b)], pa.list_(pa.int64()))
+        x, y = minmax.stacked(sets, sets.value_lengths().to_numpy().min())
         bits = np.bitwise_count(x ^ y).sum(dtype=np.int64)
         assert bits <= len(a) + len(b) - 2 * shared
         if 100 * shared >= threshold * (len(a) + len(b) - shared):
-            assert ngram_join.may_link(bits, np.int64(len(a)), np.int64(len(b)), threshold)
+            assert minmax.may_link(bits, np.int64(len(a)), np.int64(len(b)), threshold)
 
 
 def test_strangers_with_a_passage_are_not_verified(spark, monkeypatch):
