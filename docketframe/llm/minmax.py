@@ -8,9 +8,10 @@ similarity 0.8 shares none of the 54 buckets with probability 3e-6, one at 0.3 s
 found through a bucket are confirmed on the full sets.
 
 How a bucket is compared: documents with the same set are one class, and only its smallest document takes part. A
-bucket's members are compared with one leader, the links become components, and only members of *other* components are
-left to compare. Each further round sets a block of leaders against what remains, and a bucket is done when that has one
-component. No bucket is expanded into all its pairs, and no pair of a bucket that could join two components is left out.
+bucket's members are compared with one leader, the smallest class in it, the links become components, and only members of
+*other* components are left to compare. Buckets with the same leader, which near copies share by the dozen, are from then on one
+group, in which a class stands once. Each further round sets a block of leaders against what remains, and a group is done when that
+has one component. No group is expanded into all its pairs, and no pair of a bucket that could join two components is left out.
 
 Every class carries the parities of its set: as many bits as shingles or up to twice as many, each of which tells whether an
 odd number of the set's shingles hash to its place. A shingle that only one of two sets has changes one bit, so sets differ in
@@ -31,15 +32,17 @@ from pyspark.sql.window import Window
 
 from docketframe.llm.components import connected_components
 from docketframe.llm.exact_dedup import has_places
-from docketframe.llm.shared import stored
+from docketframe.llm.shared import may_match, stored
 from docketframe.llm.words import mix, split_words, text_slices, window_codes
 
 PERMUTATIONS = 189
 ROWS_PER_BAND = 7
 # Leaders of each bucket in the first round, and in all others.
 FIRST_LEADERS = 16
-MOST_LEADERS = 256
+MOST_LEADERS = 1024
 MEMBERS_PER_CHUNK = 1024
+# Members compared with all leaders at once.
+MEMBERS_PER_BLOCK = 256
 BLOCK = 1 << 11
 PARITY_SALT = 0x5BE0CD19137E2179
 
@@ -254,17 +257,17 @@ def components_of(docs: DataFrame, shingle_words: int, threshold: int) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     traits = classes.select("node", "n", "parity")
     pairs = stored(possible(members.select("leader", "node").distinct(), traits, threshold), "pairs")
-    links = stored(confirmed(pairs, stored(sets_of_pairs(texts, classes, pairs, shingle_words), "sets"), threshold), "links")
+    links = stored(confirmed(pairs, sets_of_pairs(texts, classes, pairs, shingle_words), threshold), "links")
     parts = stored(connected_components(links), "components")
 
-    left = stored(mixed_buckets(members.select("key", "node"), parts).join(traits, "node"), "left")
+    left = stored(mixed_buckets(members.select(F.col("leader").alias("key"), "node").distinct(), parts).join(traits, "node"), "left")
     number = FIRST_LEADERS
     while not left.isEmpty():
         leaders = stored(next_leaders(left, number), "leaders")
         number = MOST_LEADERS
         pairs = stored(pairs_of_round(left, leaders, threshold), "pairs")
         if not pairs.isEmpty():
-            new = stored(confirmed(pairs, stored(sets_of_pairs(texts, classes, pairs, shingle_words), "sets"), threshold), "links")
+            new = stored(confirmed(pairs, sets_of_pairs(texts, classes, pairs, shingle_words), threshold), "links")
             if not new.isEmpty():
                 links = links.union(new)
                 parts = stored(connected_components(links), "components")
@@ -286,8 +289,12 @@ def mixed_buckets(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """``node, members`` of the classes; the row that stands for a class is found by its document and set."""
-    texts = docs.join(classes.select("doc_id").distinct(), "doc_id")
+    """``node, members`` of the classes; the row that stands for a class is found by its document and set.
+
+    Only texts that may be wanted are shuffled.
+    """
+    wanted = classes.select("doc_id").distinct()
+    texts = may_match(docs, wanted, "doc_id").join(wanted, "doc_id")
     return full_sets(texts, size).join(classes.select("doc_id", "set_name", "node"), ["doc_id", "set_name"]).select("node", "members")
 
 
@@ -352,8 +359,8 @@ def pairs_of_round(left: DataFrame, leaders: DataFrame, threshold: int) -> DataF
                     continue
                 those = pa.Table.from_batches(leading).combine_chunks().to_batches()[0]
                 leading = [those]
-                for at in range(middle, last, MEMBERS_PER_CHUNK):
-                    x, y = linked_places(batch.slice(at, min(last - at, MEMBERS_PER_CHUNK)), those, threshold)
+                for at in range(middle, last, MEMBERS_PER_BLOCK):
+                    x, y = linked_places(batch.slice(at, min(last - at, MEMBERS_PER_BLOCK)), those, threshold)
                     a.append(x)
                     b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)

@@ -36,6 +36,23 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 24
+
+
+def may_match(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose ``columns`` may be those of a row of ``wanted``, so that few others are shuffled in the join that follows.
+
+    The filter is a bitmap of 2^24 bits in at most 2^18 rows, whatever the number of wanted ones, which bounds its broadcast. The
+    fuller it is the more rows pass; none of the wanted is lost.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("_bits")
+    )
+    tested = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(bits), "_word")
+    return tested.where("shiftrightunsigned(_bits, CAST(_place & 63 AS INT)) & 1 = 1").drop("_place", "_word", "_bits")
+
+
 def column_or_null(frame: DataFrame, name: str, kind: str) -> Column:
     """A column of the frame, or NULLs of the kind where it is missing."""
     return F.col(f"`{name}`") if name in frame.columns else F.lit(None).cast(kind)

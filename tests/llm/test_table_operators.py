@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import connect, multiset
-from docketframe.llm import components, exact_dedup, language, minmax, mixing, oracle, packing, queries
+from docketframe.llm import components, exact_dedup, language, minmax, mixing, oracle, packing, queries, shared
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -121,6 +121,33 @@ def test_near_duplicates_verify_few_strangers(spark, monkeypatch):
     assert sum(verified) <= 20
 
 
+def test_near_copies_stand_once_in_their_groups(spark, monkeypatch):
+    left = []
+
+    def counted(rows, leaders, threshold, plain=minmax.pairs_of_round):
+        left.append((rows.count(), rows.select("key", "node").distinct().count(), rows.select("node").distinct().count()))
+        return plain(rows, leaders, threshold)
+
+    monkeypatch.setattr(minmax, "pairs_of_round", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:10 * (i % 20)] + [f"c{i}x{k}" for k in range(8)] + base[10 * (i % 20):])) for i in range(60)]
+    rows += [(100 + i, " ".join(base[:90] + [f"d{i}x{k}" for k in range(70)] + base[90:])) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+    assert left and all(n == once and n <= 8 * nodes for n, once, nodes in left)
+
+
+def test_only_texts_that_may_be_wanted_are_shuffled(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "x"), (7, "other")], "doc_id long, text string"))
+    wanted = spark.createDataFrame([(7,), (4000,), (9999,)], "doc_id long")
+    kept = shared.may_match(docs, wanted, "doc_id")
+    assert kept.columns == docs.columns
+    assert Counter(tuple(r) for r in kept.join(wanted, "doc_id").collect()) == Counter([(7, "some text"), (7, "other"), (4000, "some text")])
+    assert kept.count() <= 10
+    assert shared.may_match(docs, wanted.where("false"), "doc_id").count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minmax.near_duplicates(odd, 5, 80)
     assert got.count() == odd.count()
@@ -134,6 +161,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 3 for i in [3, 7, *range(200, 300)]}}
 
 
+def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "stored", lambda frame, name, plain=components.stored: rounds.append(name) or plain(frame, name))
+    edges = spark.createDataFrame([(1, i) for i in range(2, 50)] + [(3, 1), (60, 61), (61, 60)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 50)}, 60: 60, 61: 60}
+    assert len(rounds) == 1
+    assert components.connected_components(edges.where("false")).count() == 0
+
+
 def plain_targets(sizes, weights):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
