@@ -12,8 +12,9 @@ crowded segment is left out and the quiet one gets its one-deletion neighbourhoo
 with the next. Crowds are counted over all documents.
 
 What shares a digest is a candidate, and is verified on the full sets. Equal sets are one class beforehand. A digest's
-classes are compared with one leader, which joins near copies into components, and then only across components, in blocks
-of leaders from the smaller components, until no digest has two components left that were not compared; so no link between
+classes are compared with one leader, the smallest of them, which joins near copies into components. Digests of the same leader, which
+near copies share by the dozen, are from then on one group, in which a class stands once; it is compared only across components, in
+blocks of leaders from the smaller components, until no group has two components left that were not compared; so no link between
 different sets is lost for the components, and no group is expanded into all its pairs.
 
 Every class carries the parities of its set (see ``minmax``). Two classes meet with their full sets only if their parities allow a link, which rules
@@ -237,7 +238,8 @@ def links_of_classes(docs: DataFrame, classes: DataFrame, size: int, threshold:
         links = links.union(more)
         parts = stored(connected_components(links), "components")
 
-    left = stored(mixed_buckets(members.where("leader <> node").select("key", "node"), parts).join(traits, "node"), "left")
+    grouped = members.where("leader <> node").select(F.col("leader").alias("key"), "node").distinct()
+    left = stored(mixed_buckets(grouped, parts).join(traits, "node"), "left")
     number = FIRST_LEADERS
     while not left.isEmpty():
         leaders = stored(next_leaders(left, number), "leaders")

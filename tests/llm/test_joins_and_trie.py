@@ -41,6 +41,21 @@ def test_join_of_changed_texts(spark):
     assert got == plain_components(rows, 3, 90)
 
 
+def test_near_copies_stand_once_in_their_groups_of_digests(spark, monkeypatch):
+    left = []
+
+    def counted(rows, leaders, threshold, plain=ngram_join.pairs_of_round):
+        left.append((rows.count(), rows.select("key", "node").distinct().count(), rows.select("node").distinct().count()))
+        return plain(rows, leaders, threshold)
+
+    monkeypatch.setattr(ngram_join, "pairs_of_round", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:3 * i], *(f"c{i}x{k}" for k in range(20)), *base[3 * i:]])) for i in range(50)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90)
+    assert left and all(n == once and n <= 8 * nodes for n, once, nodes in left)
+
+
 def test_join_with_deletion_neighbourhoods(spark, monkeypatch):
     def every_second(crowds, classes, segments):
         pairs = [(band * ngram_join.BAND_STEP + 2 * k, band * ngram_join.BAND_STEP + 2 * k + 1) for band, n in enumerate(segments[:60]) for k in range(n // 2)]
